@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing
+from . import mixing, rules
 
-QUERIES = {"op4_mix": mixing.op4_mix}
+QUERIES = {"op4_mix": mixing.op4_mix, "op10_rules": rules.op10_rules}
 SQL = {"op4_mix": mixing.OP4_SQL}
