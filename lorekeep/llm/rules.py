@@ -27,7 +27,7 @@ from .common import SPACES, WORD, null_safe, table, written
 #: Words in a window that is looked for again in the same text.
 WINDOW = 8
 #: Rates of rejected good documents for each rule and stratum, and the probability that any is above.
-RISK, DOUBT = 0.01, 0.05
+RISK, DOUBT = 0.02, 0.05
 #: A good document that is rejected weighs as this many bad ones that are kept.
 GOOD_WEIGHS = 4
 #: More strata than this are not broadcast.
@@ -128,7 +128,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt
     )
     parts = [
         # the number of the first cutoff that rejects; past the last if none does
-        F.struct(F.lit(name).alias("rule"), (F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, v=value: c >= v)) + 1).alias("level"))
+        F.struct(F.lit(name).alias("rule"), (sum((F.when(value > c, 0).otherwise(1) for c in cuts), F.lit(1))).alias("level"))
         for name, (value, cuts) in rules.items()
     ]
     rows = measured.join(known, measured["doc_id"] == known["_labelled"]).select("stratum", "_quality", F.explode(F.array(*parts)).alias("x"))
