@@ -1,6 +1,10 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, rules
+from . import mixing, rules, simhash
 
-QUERIES = {"op4_mix": mixing.op4_mix, "op10_rules": rules.op10_rules}
+QUERIES = {
+    "op4_mix": mixing.op4_mix,
+    "op7_simhash": simhash.op7_simhash,
+    "op10_rules": rules.op10_rules,
+}
 SQL = {"op4_mix": mixing.OP4_SQL}
