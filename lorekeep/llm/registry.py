@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, rules, simhash
+from . import mixing, rules, simhash, token_files
 
 QUERIES = {
     "op4_mix": mixing.op4_mix,
+    "op5_token_files": token_files.op5_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op10_rules": rules.op10_rules,
 }
