@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, rules, simhash, token_files
+from . import mixing, packing, rules, simhash, token_files
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
     "op4_mix": mixing.op4_mix,
     "op5_token_files": token_files.op5_token_files,
     "op7_simhash": simhash.op7_simhash,
