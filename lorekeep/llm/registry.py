@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, packing, rules, simhash, token_files
+from . import compress, mixing, packing, rules, simhash, token_files
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op4_mix": mixing.op4_mix,
     "op5_token_files": token_files.op5_token_files,
+    "op6_language": compress.op6_language,
     "op7_simhash": simhash.op7_simhash,
+    "op8_quality": compress.op8_quality,
     "op10_rules": rules.op10_rules,
 }
 SQL = {"op4_mix": mixing.OP4_SQL}
