@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import compress, mixing, packing, rules, simhash, token_files
+from . import compress, mixing, nearest, packing, rules, simhash, token_files
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_language": compress.op6_language,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": compress.op8_quality,
+    "op9_nearest": nearest.op9_nearest,
     "op10_rules": rules.op10_rules,
 }
 SQL = {"op4_mix": mixing.OP4_SQL}
