@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import compress, mixing, nearest, packing, rules, simhash, token_files
+from . import chat, compress, mixing, nearest, packing, rules, simhash, token_files
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_pack": packing.op2_pack,
     "op4_mix": mixing.op4_mix,
     "op5_token_files": token_files.op5_token_files,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_rules": rules.op10_rules,
 }
-SQL = {"op4_mix": mixing.OP4_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op4_mix": mixing.OP4_SQL}
