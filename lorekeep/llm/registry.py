@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import chat, compress, mixing, nearest, packing, rules, simhash, token_files
+from . import chat, compress, mixing, nearest, packing, pieces, rules, simhash, token_files
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_pack": packing.op2_pack,
+    "op3_piece_counts": pieces.op3_piece_counts,
     "op4_mix": mixing.op4_mix,
     "op5_token_files": token_files.op5_token_files,
     "op6_language": compress.op6_language,
