@@ -53,18 +53,18 @@ def search(corpus: DataFrame, queries: DataFrame, how: Search = Search()) -> Dat
     return picked.select("query_id", "position", "id", "score")
 
 
-def retrieved(selected: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """query_id and its ids in order; members(id, members) replaces rounds by their turns."""
-    rows = selected if members is None else selected.join(members, "id", "left")
-    item = F.struct("position", "id") if members is None else F.struct("position", "id", "members")
-    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+def retrieved(selected: DataFrame) -> DataFrame:
+    """query_id and its ids in order; where selected has members, rounds are replaced by their turns."""
+    whole = "members" in selected.columns
+    item = F.struct("position", "id", "members") if whole else F.struct("position", "id")
+    lists = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     ids = F.transform("_items", lambda x: x["id"])
-    if members is not None:
+    if whole:
         ids = expanded(ids, F.transform("_items", lambda x: x["members"]))
     return lists.select("query_id", ids.alias("retrieved"))
 
 
-def report(selected: DataFrame, gold: DataFrame, members: DataFrame | None = None, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """gold(query_id, grp, gold) and what was selected to the metrics of metrics.evaluate."""
-    rows = gold.join(retrieved(selected, members), "query_id", "left")
+def report_of(selected: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """gold(query_id, grp, gold) and what was selected to the report of metrics.evaluate."""
+    rows = gold.join(retrieved(selected), "query_id", "left")
     return evaluate(rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>"))), cutoffs)
