@@ -128,10 +128,12 @@ def locomo(spark: SparkSession, path: str) -> Dataset:
     """Sessions are keys session_N of a document, in the order of N; their date is session_N_date_time."""
     doc = _documents(spark, path, LOCOMO, True).withColumn("conversation_id", surrogate_id(F.lit("locomo"), F.col("sample_id")).cast("string"))
     entries = doc.select("conversation_id", "conversation", F.explode(F.map_entries("conversation")).alias("e"))
-    sessions = entries.where(F.col("e.key").rlike(r"^session_\d+$")).select(
+    is_session = F.col("e.key").rlike(r"^session_\d+$")
+    sessions = entries.where(is_session).select(
         "conversation_id",
         F.regexp_extract("e.key", r"(\d+)$", 1).cast("int").alias("n"),
-        F.from_json("e.value", LOCOMO_TURNS, {"mode": "FAILFAST"}).alias("turns"),
+        # guarded once more: a plan may parse before it filters
+        F.from_json(F.when(is_session, F.col("e.value")), LOCOMO_TURNS, {"mode": "FAILFAST"}).alias("turns"),
         F.coalesce(F.try_element_at("conversation", F.concat("e.key", F.lit("_date_time"))), F.lit("")).alias("date_time"),
     )
     rows = sessions.select("conversation_id", "n", "date_time", F.posexplode("turns").alias("i", "t"))
