@@ -147,31 +147,39 @@ def form(data: bytes) -> bytes:
     return re.sub(rb"AA+", b"B", re.sub(rb"a+", b"a", data.translate(_FORM)))
 
 
-def features(text: str | None, words: list, forms: list) -> list[float]:
-    """The normalised difference of sizes with the bad and the good dictionary, of the text and of its form,
-    and the text's size with the good one as a share of its length, which is least where it repeats itself."""
+def features(text: str | None, words: list, forms: list, plain: Callable[[bytes], bytes]) -> list[float]:
+    """The normalised difference of sizes with the bad and the good dictionary, of the text and of its form, and the text's
+    size without a dictionary as a share of its length, which is least where it repeats itself."""
     data, out = (text or "").encode(), []
     for view, (bad, good) in ((data, words), (form(data), forms)):
         b, g = size(bad, view, QUALITY_BLOCK), size(good, view, QUALITY_BLOCK)
         out.append((b - g) / max(b + g, 1))
-        if view is data:
-            out.append(g / max(len(data), 1))
-    return out
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton's method on columns brought to a unit deviation; intercept first."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-    w, hold = np.zeros(z.shape[1]), np.diag([0.0, *[ridge * len(x)] * x.shape[1]])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + hold
-        step = np.linalg.solve(h, z.T @ (y - p) - hold @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
+    return [*out, size(plain, data, QUALITY_BLOCK) / max(len(data), 1)]
+
+
+#: Features that can only speak for good texts: the two differences.
+RISING = (0, 1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method on columns brought to a unit deviation; intercept first. Few rows could turn
+    a difference of sizes against its meaning; such a column is left out."""
+    mean, spread, used = x.mean(0), x.std(0) + 1e-9, list(range(x.shape[1]))
+    while True:
+        z = np.column_stack([np.ones(len(x)), ((x - mean) / spread)[:, used]])
+        w, hold = np.zeros(z.shape[1]), np.diag([1e-6, *[ridge] * len(used)])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + hold, z.T @ (y - p) - hold @ w)
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
+        against = [i for i, v in zip(used, w[1:]) if i in RISING and v < 0]
+        if not against:
             break
-    slope = w[1:] / spread
+        used = [i for i in used if i not in against]
+    slope = np.zeros(x.shape[1])
+    slope[used] = w[1:] / spread[used]
     return np.array([w[0] - (slope * mean).sum(), *slope])
 
 
@@ -214,8 +222,9 @@ def measured(docs: DataFrame, model: dict, more: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, forms = ([kept_compressor(x) for x in model[k]] for k in ("words", "forms"))
+        plain = kept_compressor(b"")
         for b in batches:
-            found = [features(x.as_py(), words, forms) for x in b.column(1)]
+            found = [features(x.as_py(), words, forms, plain) for x in b.column(1)]
             columns = [pa.array([x[i] for x in found], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, *b.columns[2:]], ["doc_id", "x0", "x1", "x2", *extra])
 
