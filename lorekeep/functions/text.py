@@ -69,8 +69,7 @@ def _stemmed(words: pd.Series) -> pd.Series:
 def words(normalized: Column) -> Column:
     """The runs of letters and digits, without stop words; repeated words stay, as their number counts."""
     parts = F.split(normalized, r"[^\p{L}\p{N}]+")
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(parts, lambda w: (w != "") & ~w.isin(STOPWORDS))
 
 
 def lexemes(text: Column, stemmed: bool = True) -> Column:

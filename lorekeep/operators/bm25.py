@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.storage import written
+
 from .ranking import DIGITS, top_n
 
 K1, B = 1.2, 0.75
@@ -49,7 +51,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, n: int = 0, k1: float = K1, b: f
     asked = queries.select("query_id", "conversation_id", F.explode("lexemes").alias("term"))
     asked = asked.groupBy("conversation_id", "query_id", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("conversation_id", "term").distinct()
-    posted = postings(corpus).join(wanted, ["conversation_id", "term"], "left_semi")
+    posted = written(postings(corpus).join(wanted, ["conversation_id", "term"], "left_semi"))
     weights = document_frequency(posted).join(corpus_stats(corpus), "conversation_id")
     weights = weights.select("conversation_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
     hits = posted.join(asked.join(weights, ["conversation_id", "term"]), ["conversation_id", "term"])
