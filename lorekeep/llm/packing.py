@@ -1,8 +1,8 @@
 """Lexical retrieval packing: documents that share words share a window.
 
 Every document's ids are cut into whole windows and one shorter rest. The rests are put in the order of their most telling
-terms (token ids, weighted with BM25 statistics of all documents) by range partitioning, and each stretch of so many rests
-in that order is a shard with a BM25 inverted index of its own. A shard packs its rests: the seed, the first that is
+terms (token ids) by range partitioning, and each stretch of so many rests in that order is a shard with a BM25 inverted
+index of its own, with the statistics of all documents. A shard packs its rests: the seed, the first that is
 unused, asks the index with all its terms, and its unused neighbours fill the window from the best on; the one that is too
 long for the room left is cut, and what remains of it is the next seed. So every window is full, and only a shard's last
 ids are left over; they go to windows of sizes that are powers of two, and no place is padded.
@@ -35,6 +35,7 @@ K1, B = 1.2, 0.75
 COMMON = 0.5
 #: The terms that order the rests.
 LEADING = 3
+LEADS = [f"lead{i}" for i in range(LEADING)]
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,23 +43,40 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)
 
 
+def leading(terms: np.ndarray, tf: np.ndarray) -> list[int]:
+    """A rest's most telling terms. What orders the rests is the vocabulary's own order, in which merges come from the
+    most frequent on, so that it needs no statistics of the data; the index has those."""
+    weight = tf / (tf + K1) * np.log(terms + 2.0)
+    return ([int(x) for x in terms[np.lexsort((terms, -weight))[:LEADING]]] + [-1] * LEADING)[:LEADING]
+
+
 def token_table(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, n and ids (binary, 16 bits each if the vocabulary allows), written to the shared folder."""
+    """doc_id, n, lead0.. and ids (binary, 16 bits each if the vocabulary allows), written to the shared folder. After its
+    documents, each task adds a row with n = -1 whose ids are the numbers of its rests that hold each term, of its rests
+    and of their ids."""
+    names = ["doc_id", "n", *LEADS, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
-        last = np.array([end], "<u4").tobytes()
+        last, df = np.array([end], "<u4").tobytes(), np.zeros(encode.vocabulary + 2, np.int64)
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * LEADING, pa.binary()]
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                ids = [np.frombuffer(encode.encode(x.as_py()) + last, "<u4") for x in some.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "n", "ids"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+                out = []
+                for doc, text in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512)):
+                    ids = np.frombuffer(encode.encode(text.as_py()) + last, "<u4")
+                    rest, lead = ids[len(ids) // WINDOW * WINDOW :], [-1] * LEADING
+                    if len(rest):
+                        terms, tf = np.unique(rest, return_counts=True)
+                        lead = leading(terms, tf)
+                        df[terms] += 1
+                        df[-2:] += 1, len(rest)
+                    out.append((doc, len(ids), *lead, ids.astype(kind).tobytes()))
+                yield _batch(out, names, types)
+        yield _batch([(None, -1, *[-1] * LEADING, df.tobytes())], names, types)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n long, {', '.join(f'{x} int' for x in LEADS)}, ids binary")
     return written(rows)
 
 
@@ -67,21 +85,18 @@ def _array(data: bytes, n: int) -> np.ndarray:
 
 
 def term_weights(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, float]:
-    """BM25's idf of each id of the vocabulary (0 if it's too common to be a term) and the mean length, over all rests. As many numbers as the vocabulary has
-    come to the driver, whatever the size of the data."""
+    """BM25's idf of each id of the vocabulary (0 if it's too common to be a term) and the mean length, over all rests. As
+    many numbers as the vocabulary has come to the driver, whatever the size of the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(vocabulary + 2, np.int64)  # and, at the end, how many rests and ids
+        df = np.zeros(vocabulary + 2, np.int64)
         for b in batches:
-            for n, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rest = _array(data.as_py(), n)[n // WINDOW * WINDOW :]
-                if len(rest):
-                    df[np.unique(rest)] += 1
-                    df[-2:] += 1, len(rest)
+            for data in b.column(0):
+                df += np.frombuffer(data.as_py(), np.int64)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "df"])
 
-    counts = tokens.select("n", "ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = tokens.where("n < 0").select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(vocabulary + 2)
     for term, n in counts.collect():
         df[term] = n
@@ -180,6 +195,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD, with
     tokenizer = tokenizer or default_tokenizer()
     tokens = token_table(docs, tokenizer)
     idf, mean = term_weights(tokens, encoder(tokenizer).vocabulary)
+    tokens = tokens.where("n >= 0")
     shared = docs.sparkSession.sparkContext.broadcast((idf, mean))
     names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
@@ -194,20 +210,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD, with
                 ids = _array(data.as_py(), n)
                 yield _batch([row(doc, k, ids[k : k + WINDOW], n, 0, 0) for k in range(0, n // WINDOW * WINDOW, WINDOW)], names, types)
 
-    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, length = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                out = []
-                for doc, n, data in zip(*(b.slice(at, 512).column(i).to_pylist() for i in range(2)), b.slice(at, 512).column(2)):
-                    ids = _array(data.as_py(), n)
-                    rest = ids[n // WINDOW * WINDOW :]
-                    if len(rest):
-                        terms, value = impacts(rest, weight, length)
-                        lead = terms[np.lexsort((terms, -value))[:LEADING]].tolist()
-                        out.append((doc, n, *(lead + [-1] * LEADING)[:LEADING], rest.astype("<u2" if len(data.as_py()) == 2 * n else "<u4").tobytes()))
-                yield _batch(out, ["doc_id", "n", *keys, "rest"], [pa.int64(), pa.int64(), *[pa.int32()] * LEADING, pa.binary()])
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -236,10 +238,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD, with
         if held:
             yield from close()
 
-    keys = [f"lead{i}" for i in range(LEADING)]
-    full = tokens.where(F.col("n") >= WINDOW).mapInArrow(whole, schema).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1)
-    order = [*keys, "doc_id", "n"]
-    pool = tokens.mapInArrow(rests, f"doc_id long, n long, {', '.join(f'{k} int' for k in keys)}, rest binary")
+    full = tokens.where(F.col("n") >= WINDOW).select("doc_id", "n", "ids").mapInArrow(whole, schema).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1)
+    cut = F.floor(F.col("n") / WINDOW) * WINDOW
+    width = F.octet_length("ids") / F.col("n")
+    pool = tokens.where(F.col("n") > cut).select("doc_id", "n", *LEADS, F.substring("ids", (cut * width + 1).cast("int"), F.octet_length("ids")).alias("rest"))
+    order = [*LEADS, "doc_id", "n"]
     pool = pool.repartitionByRange(*order).sortWithinPartitions(*order)
     return full.unionByName(pool.select("doc_id", "n", "rest").mapInArrow(packed, schema))
 
