@@ -1,50 +1,25 @@
-"""What the operators share: tables written to the shared folder, ranks without a global window, and components."""
+"""What the operators share: ranks without a global window, null-safe joins, and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorekeep.storage import new_folder, written
+
+__all__ = ["SPACES", "WORD", "components", "new_folder", "null_safe", "ranked", "table", "written"]
+
 #: A word is a run of anything but a space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode with none named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    return _own_folders[app]
-
-
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/lorekeep-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and not lost with an executor."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranked(df: DataFrame, within: Sequence[str], order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Ranks rows within groups of any size without a window over them.
 

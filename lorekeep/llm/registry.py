@@ -14,4 +14,4 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_rules": rules.op10_rules,
 }
-SQL = {"op1_chat": chat.OP1_SQL, "op4_mix": mixing.OP4_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op4_mix": mixing.OP4_SQL, "op10_rules": rules.OP10_SQL}

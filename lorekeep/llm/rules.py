@@ -32,21 +32,28 @@ RISK, DOUBT = 0.02, 0.05
 GOOD_WEIGHS = 4
 #: More strata than this are not broadcast.
 MOST_BROADCAST = 10_000
-#: The rules: what they measure, and their cutoffs from the loosest on.
-RULES: dict[str, tuple[Column, tuple[float, ...]]] = {}
+_SHARES = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06)
+#: The rules' cutoffs, from the loosest on.
+CUTS: dict[str, tuple[float, ...]] = {
+    "symbols": (3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07),
+    "shouting": _SHARES,
+    "repeated_words": _SHARES,
+    "repeated_lines": _SHARES,
+    "long_words": (100.0, 60.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.0),
+}
 
 
 def _rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
-    if not RULES:
-        words, shares = F.greatest(F.col("n_words"), F.lit(1)), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06)
-        RULES.update(
-            symbols=(F.col("n_symbols") / words, (3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07)),
-            shouting=(F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)), shares),
-            repeated_words=(F.col("n_repeat_words") / words, shares),
-            repeated_lines=(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), shares),
-            long_words=(F.col("word_chars") / words, (100.0, 60.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.0)),
-        )
-    return RULES
+    """What each rule measures, and its cutoffs."""
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    values = {
+        "symbols": F.col("n_symbols") / words,
+        "shouting": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "repeated_words": F.col("n_repeat_words") / words,
+        "repeated_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "long_words": F.col("word_chars") / words,
+    }
+    return {name: (value, CUTS[name]) for name, value in values.items()}
 
 
 def measures(docs: DataFrame, stratum: str = "lang", window: int = WINDOW) -> DataFrame:
@@ -169,3 +176,43 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     rule = F.array_join("rejected_by", ",").alias("rejected_by")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rule)
+
+
+def _sql() -> str:
+    """The same in SQL, with the tail's terms summed one by one."""
+    values = {
+        "symbols": "n_symbols / greatest(n_words, 1)::DOUBLE",
+        "shouting": "n_upper / greatest(word_chars, 1)::DOUBLE",
+        "repeated_words": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
+        "repeated_lines": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
+        "long_words": "word_chars / greatest(n_words, 1)::DOUBLE",
+    }
+    parts = " UNION ALL ".join(
+        f"SELECT r, doc_id, stratum, {i} AS place, '{rule}' AS rule, {values[rule]} AS value, {list(cuts)}::DOUBLE[] AS cuts FROM m" for i, (rule, cuts) in enumerate(CUTS.items())
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+win AS (SELECT r, i, list_slice(w, i, i + {WINDOW - 1}) AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) > {WINDOW})),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+cov AS (SELECT r, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM rep) GROUP BY r),
+m AS (SELECT w.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON cov.r = w.r),
+x AS ({parts}),
+known AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+u AS (SELECT stratum, rule, value, q, unnest(cuts) AS cut, generate_subscripts(cuts, 1) AS level FROM x JOIN known USING (doc_id)),
+g AS (SELECT stratum, rule, level, cut, count(*) FILTER (WHERE q = 1 AND value > cut) AS good, count(*) FILTER (WHERE q = 0 AND value > cut) AS bad,
+  count(*) FILTER (WHERE q = 1) AS n_good, count(*) FILTER (WHERE q = 0) AS n_bad FROM u GROUP BY ALL),
+p AS (SELECT *, CASE WHEN good >= n_good * {RISK} THEN 1 ELSE list_sum([exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({RISK}) + (n_good - i) * ln(1 - {RISK}))
+  FOR i IN range(0, good + 1)]) END > {DOUBT} / ({len(CUTS)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM g))) AS fails FROM g WHERE n_good > 0),
+s AS (SELECT *, bad - {GOOD_WEIGHS} * good * greatest(n_bad, 1) / n_good::DOUBLE AS gain, bool_or(fails) OVER (PARTITION BY stratum, rule ORDER BY level) AS failed FROM p),
+c AS (SELECT stratum, rule, cut FROM s WHERE NOT failed AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, level) = 1),
+h AS (SELECT r, string_agg(x.rule, ',' ORDER BY place) AS rejected_by FROM x JOIN c ON x.stratum IS NOT DISTINCT FROM c.stratum AND x.rule = c.rule AND x.value > c.cut GROUP BY r),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN h USING (r)
+"""
+
+
+OP10_SQL = _sql()
