@@ -16,6 +16,11 @@ from lorekeep.functions.keys import cache_key
 PREFIXES = ("search_document: ", "search_query: ", "clustering: ", "classification: ")
 
 
+def task_type(prefix: str) -> str:
+    """What a service calls the task that a prefix stands for."""
+    return "query" if prefix.startswith("search_query") else "document"
+
+
 class PermanentError(Exception):
     """An error that trying again doesn't mend."""
 

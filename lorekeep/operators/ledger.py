@@ -143,3 +143,30 @@ def new_memories(existing: DataFrame, new: DataFrame, order: str = "pos") -> Dat
 
 def acknowledged(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("deduped"))
+
+
+def by_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The memories whose id is among ids(id)."""
+    return memories.join(ids.select("id").distinct(), "id", "left_semi").select(*memories.columns)
+
+
+def strict_lookup(ids: DataFrame, refs: DataFrame) -> DataFrame:
+    """ids(id, ...) with the columns of refs; an error when it's read if an id isn't there."""
+    rows = ids.join(refs.withColumn("_there", F.lit(True)), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no memory has the id "), F.col("id").cast("string")))
+    return rows.withColumn("id", F.when(F.col("_there"), F.col("id")).otherwise(missing.cast(dict(ids.dtypes)["id"]))).drop("_there")
+
+
+def with_twins(fetched: DataFrame, local: DataFrame, order: str = "pos") -> DataFrame:
+    """fetched(content_hash, ...) with the local row of the same content; of several, the last in order."""
+    last = Window.partitionBy("content_hash").orderBy(F.desc(order))
+    twins = local.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", order)
+    return fetched.join(twins, "content_hash")
+
+
+def without_twins(fetched: DataFrame, local: DataFrame) -> DataFrame:
+    return fetched.join(local.select("content_hash"), "content_hash", "left_anti")
+
+
+def is_pending(memories: DataFrame, events: DataFrame, version: int, as_of: Column, memory_id: int, **how: float) -> bool:
+    return not pending(memories.where(F.col("id") == memory_id), events.where(F.col("memory_id") == memory_id), version, as_of, **how).isEmpty()

@@ -60,13 +60,29 @@ def enriched_turns(spark, d):
     return rows.select("id", "status", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), F.size("lexemes").alias("n"), F.octet_length("embedding").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_dedup, ack_counts, cache_miss, cache_rows_by_prefix, embed_outcomes, enriched_turns)}
+def matched_twins(spark, d):
+    """Documents as fetched rows, matched by content with those of one half of the sources as local ones."""
+    rows = table(spark, d, "documents").select("doc_id", "source", keys.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
+    local = rows.where("source < 'src2'").select("content_hash", F.col("doc_id").alias("twin"), F.col("doc_id").alias("pos"))
+    return L.with_twins(rows, local).select("doc_id", "twin")
+
+
+def fetched_texts(spark, d):
+    """Each labelled document's source, found by its id."""
+    refs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    return L.strict_lookup(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), refs)
+
+
+QUERIES = {f.__name__: f for f in (matched_twins, fetched_texts, ingest_dedup, ack_counts, cache_miss, cache_rows_by_prefix, embed_outcomes, enriched_turns)}
 
 _MARKED = f"""{TURNS_SQL},
 a AS (SELECT turn_id, pos FROM turns UNION ALL SELECT turn_id, pos + 1000 FROM turns WHERE CAST(conversation_id AS BIGINT) % 2 = 0),
 m AS (SELECT turn_id, pos, row_number() OVER (PARTITION BY turn_id ORDER BY pos) = 1 AND turn_id NOT IN (SELECT turn_id FROM turns WHERE pos = 0) AS accepted FROM a)"""
 _KEYS = "k AS (SELECT doc_id, lang, coalesce(text, '') AS t, sha256('search_document: ' || coalesce(text, '')) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE lang = 'en')"
 SQL = {
+    "matched_twins": """WITH k AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS key FROM documents),
+l AS (SELECT key, max(doc_id) AS twin FROM k WHERE source < 'src2' GROUP BY key) SELECT doc_id, twin FROM k JOIN l USING (key)""",
+    "fetched_texts": "SELECT doc_id AS id, quality, source FROM labels JOIN documents USING (doc_id)",
     "ingest_dedup": f"WITH {_MARKED} SELECT * FROM m",
     "ack_counts": f"WITH {_MARKED} SELECT count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS deduped FROM m",
     "cache_miss": f"WITH {_KEYS} SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM c)",

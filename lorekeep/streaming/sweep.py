@@ -22,7 +22,7 @@ from .ingest import stored
 class Sweeper:
     """A single writer over the folders events/ and cache/ of a ledger.
 
-    texts(id, speaker, text, date_time) has a row for each memory; a text that isn't there is an error of that memory."""
+    texts(id, speaker, text, date_time) has a row for each memory; a text that isn't there is a failure of that memory."""
 
     def __init__(self, spark: SparkSession, ledger: str, memories: DataFrame, texts: DataFrame, embedder: Callable[[], E.Embedder], config: Enrichment = Enrichment()):
         self.spark, self.ledger, self.memories, self.texts, self.embedder, self.config = spark, ledger, memories, texts, embedder, config
@@ -42,7 +42,9 @@ class Sweeper:
         c = self.config
         pages = written(L.plan_pages(self.backlog(as_of), c.batch_size, c.batches).select("id", "page"))
         rows = pages.join(self.texts, "id", "left").repartition(c.batches, "page")
-        done = written(enriched(rows, self.cache(), self.embedder, c.document_prefix, c.model, c.dims).withColumn("missing", F.lit(False)))
+        lost = rows.where("text is null").select("id", F.lit("failed").alias("status"), F.lit(False).alias("permanent"), F.lit("its text isn't there").alias("error_message"))
+        found = enriched(rows.where("text is not null"), self.cache(), self.embedder, c.document_prefix, c.model, c.dims)
+        done = written(found.unionByName(lost, allowMissingColumns=True))
         E.cacheable(done, self.cache(), c.document_prefix, c.model, c.dims, as_of).write.mode("append").parquet(f"{self.ledger}/cache")
         old = self.events()
         last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]

@@ -79,6 +79,14 @@ def test_an_outage_leaves_the_rest_for_later(spark, ledger):
     assert up.wave(late) == {"done": 20} and wait_enriched(up, 5, 0.1)
 
 
+def test_a_text_that_is_lost_is_a_failure(spark, ledger):
+    folder, memories, texts = ledger
+    sweeper = Sweeper(spark, folder, memories, texts.where("id <> 3"), partial(E.MockEmbedder, 4), Enrichment(batch_size=32, batches=1, dims=4))
+    assert sweeper.wave(F.lit("2024-01-01").cast("timestamp")) == {"done": 19, "failed": 1}
+    assert sweeper.events().where("status = 'failed'").first().error_message == "its text isn't there"
+    assert E.task_type("search_query: ") == "query" and E.task_type("search_document: ") == "document"
+
+
 def test_stream_ingest_runs_again_without_repeating(spark, tmp_path):
     kind = "conversation_id string, session_id string, turn_id string, speaker string, text string, date_time string, pos int"
     rows = spark.createDataFrame([("c", "s", "t1", "u", "same", "", 0), ("c", "s", "t1", "u", "same", "", 1), ("c", "s", "t2", "u", "other", "", 2)], kind)

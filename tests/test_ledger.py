@@ -76,3 +76,20 @@ def test_new_memories(spark):
     marked = L.new_memories(old, new)
     assert {r.pos: r.accepted for r in marked.collect()} == {0: False, 1: True, 2: False, 3: True, 4: True}
     assert L.acknowledged(marked).first().asDict() == {"accepted": 3, "deduped": 2}
+
+
+def test_lookups(spark, memories, events):
+    ids = spark.createDataFrame([(2,), (3,), (2,)], "id long")
+    assert [r.id for r in L.by_ids(memories, ids).orderBy("id").collect()] == [2, 3]
+    assert sorted((r.id, r.conversation_id) for r in L.strict_lookup(ids, memories).collect()) == [(2, "c"), (2, "c"), (3, "c")]
+    with pytest.raises(Exception, match="no memory has the id 99"):
+        L.strict_lookup(spark.createDataFrame([(99,)], "id long"), memories).collect()
+    at = F.lit("2024-01-05").cast("timestamp")
+    assert L.is_pending(memories, events, 1, at, 2) and not L.is_pending(memories, events, 1, at, 1)
+
+
+def test_twins(spark):
+    fetched = spark.createDataFrame([("h1", 1), ("h2", 2)], "content_hash string, id long")
+    local = spark.createDataFrame([("h1", "first", 0), ("h1", "last", 1), ("h3", "x", 2)], "content_hash string, turn_id string, pos int")
+    assert [(r.id, r.turn_id) for r in L.with_twins(fetched, local).collect()] == [(1, "last")]
+    assert [r.id for r in L.without_twins(fetched, local).collect()] == [2]
