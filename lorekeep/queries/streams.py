@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.storage import new_folder
 from lorekeep.streaming.ingest import ingested, throughput
 
-from .views import TURNS_SQL, table
+from .views import TURNS_SQL
 
 
 def _stream(spark, d, name):
