@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import LONGEST, MOST_WORDS, default_tokenizer
+from .tokens import LONGEST, MOST_WORDS, byte_of_sign, default_tokenizer
 
 
 class Automaton:
@@ -78,13 +78,6 @@ class Automaton:
         return n if node >= 0 else 1
 
 
-def byte_of_sign() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as they are and the others, in order, from code point 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def vocabulary(path: str, word_end: str = "</w>") -> set[bytes]:
     """The pieces of a byte-level tokenizer file as bytes, without its special tokens and marks of a word's end."""
     with open(path) as f:

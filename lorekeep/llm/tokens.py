@@ -15,6 +15,8 @@ import os
 MOST_WORDS = 1 << 20
 #: Longer words aren't kept.
 LONGEST = 64
+#: Letters up to this one are Latin.
+LAST_LATIN = "\u024f"
 #: Marks that, after letters, are a piece of their own to the tokenizer.
 MARKS = b",.;:!?&#%*$|"
 
@@ -25,17 +27,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_of_sign() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as they are and the others, in order, from code point 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def _by_words(path: str) -> bool:
     with open(path) as f:
         config = json.load(f)
     normal = (config.get("normalizer") or {}).get("normalizers") or []
-    split = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split, *bytewise = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     pattern = (split.get("pattern") or {}).get("Regex", "")
     return (
         [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
         and split.get("type") == "Split"
         and (split["behavior"], split["invert"]) == ("Removed", True)
         and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in bytewise] == [("ByteLevel", False, False)]
         and config.get("post_processor") is None
     )
 
@@ -49,16 +59,25 @@ class Encoder(dict):
 
         self.library, self.by_words = Tokenizer.from_file(path), _by_words(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.model, self.signs = self.library.model, {b: c for c, b in byte_of_sign().items()}
 
     def _ids(self, text: str) -> bytes:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of Latin letters: one piece to the tokenizer, lower-cased and no other in NFC, so that the
+        library's model can have it without the steps before."""
+        piece = word.lower().encode().decode("latin-1").translate(self.signs)
+        return array.array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(MARKS)
+        stem, text = word.rstrip(MARKS), word.decode()
         if stem and len(stem) < len(word) and stem.decode().lower().isalpha():
             ids = self[stem] + self[word[len(stem) :]]
+        elif text.isalpha() and max(text) <= LAST_LATIN and "İ" not in text:
+            ids = self._letters(text)
         else:
-            ids = self._ids(word.decode())
+            ids = self._ids(text)
         if len(self) < MOST_WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids

@@ -202,6 +202,7 @@ def test_ids_are_the_librarys():
     encode = tokens.encoder(tokens.default_tokenizer())
     for text in [
         "Don't STOP!!", "a<|endoftext|>b <|ENDOFTEXT|> x", "İ, ΑΣ. é, x́. ́a", "ab'll.' can't,; 12,3 ½x.", "A b c,. 　d ﬁ. ǅ,", "naïve,… “q” a|> <|start of",
+        "".join(map(chr, range(33, 0x300))), " ".join(map(chr, range(33, 0x2500))), " ".join(f"a{chr(i)}" for i in range(33, 0x500)), "ÉCOLE Ñandú straße ŉ ǅ İI ſ ĸ",
         "\x1fa\x1c,b\x85c", "<|startoftext|>, HELLO", "WORD" * 40 + ".", "",
     ]:
         assert encode.encode(text) == array.array("I", encode.library.encode(text, add_special_tokens=False).ids).tobytes()
