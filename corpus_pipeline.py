@@ -18,6 +18,22 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With _row_key, which each row has for its own and which is in order of ids, null last: the id itself if that tells
+    rows apart, else the row's place by its id, a hash of its text and its number. Written, as numbers of rows are not
+    the same each time."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_row_key", F.col("doc_id").cast("long"))
+    numbered = common.written(docs.withColumns({"_row_hash": F.xxhash64("text"), "_row_number": F.monotonically_increasing_id()}))
+    order = [F.col("doc_id").asc_nulls_last(), "_row_hash", "_row_number"]
+    placed = numbered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row_key", F.monotonically_increasing_id())
+    return common.written(placed.drop("_row_hash", "_row_number"))
+
+
+def _as_id(rows: DataFrame) -> DataFrame:
+    return rows.drop("doc_id").withColumnRenamed("_row_key", "doc_id")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out what a base rule or a risk-controlled cutoff rejects."""
     judged = rules.judged(docs, common.table(spark, sf_dir, "labels"))
@@ -32,17 +48,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, keeps the document with the least id. SimHash's links are joined by those of
-    documents that share at least 0.8 of their five-word shingles, which fingerprints within 2 bits next to never tell."""
-    found = common.written(similar.grouped(docs))
-    kept = _only(docs, found.select(F.col("group_id").alias("doc_id")).distinct())
-    # rows that share an id can't be told apart by it: one of them stays
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    documents that share at least 0.8 of their five-word shingles, which fingerprints within 2 bits next to never tell.
+    Rows without an id, or that share one, are documents of their own: of those, only copies are left out."""
+    rows = _keyed(docs)
+    found = common.written(similar.grouped(_as_id(rows)))
+    kept = found.select(F.col("group_id").alias("_kept_key")).distinct()
+    return rows.join(kept, rows["_row_key"] == kept["_kept_key"], "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for: not at all, once or twice."""
-    return mixing.repeated(docs, mixing.mix(docs))
+    rows = _keyed(docs)
+    keyed = _as_id(rows.withColumn("_own_id", F.col("doc_id")))
+    taken = mixing.repeated(keyed, mixing.mix(keyed))
+    return taken.drop("doc_id").withColumnRenamed("_own_id", "doc_id").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,9 +66,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
+    """The documents as often as the mix takes them, with their own columns. Rows are told by their ids; one null id is
+    an id like others."""
     copies = taken.where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
-    joined = docs.join(copies, docs["doc_id"] == copies["_mix_id"])
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
     return joined.withColumn("_mix_copy", F.explode("_mix_copies")).drop("_mix_id", "_mix_copies", "_mix_copy")
 
 

@@ -61,3 +61,19 @@ def test_stages_on_odd_and_empty_tables(spark, folder, odd, none):
 
 def test_run(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    """They are documents like others: only copies go, and the mix takes each as often as its own row asks for."""
+    rnd = random.Random(8)
+    texts = [prose(rnd, 60 + i) for i in range(12)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (5, texts[5]), (6, texts[6]), (7, texts[5]), (None, texts[6]), (8, texts[7]), (8, texts[7])]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], KIND)
+    want = sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (5, texts[5]), (6, texts[6]), (8, texts[7])], key=str)
+    kept = common.written(pipeline.near_duplicates(spark, docs, ""))
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
+    mixed = collections.Counter((r.doc_id, r.text) for r in pipeline.mix(spark, kept, "").collect())
+    words = sum(len(t.split()) for _, t in want)
+    # one source, so its target is 1.5 times its words and each row is taken once or twice
+    assert sorted(mixed, key=str) == want and set(mixed.values()) <= {1, 2}
+    assert abs(sum(len(t.split()) * n for (_, t), n in mixed.items()) - 1.5 * words) <= 80
