@@ -31,8 +31,6 @@ WINDOW, END = 4096, 2
 #: Rests in a shard.
 SHARD = 1024
 K1, B = 1.2, 0.75
-#: Terms in more than this share of all rests aren't indexed: they tell rests apart least, and most postings are theirs.
-COMMON = 0.5
 #: The terms that order the rests.
 LEADING = 3
 LEADS = [f"lead{i}" for i in range(LEADING)]
@@ -85,8 +83,8 @@ def _array(data: bytes, n: int) -> np.ndarray:
 
 
 def term_weights(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, float]:
-    """BM25's idf of each id of the vocabulary (0 if it's too common to be a term) and the mean length, over all rests. As
-    many numbers as the vocabulary has come to the driver, whatever the size of the data."""
+    """BM25's idf of each id of the vocabulary and the mean length, over all rests. As many numbers as the vocabulary has
+    come to the driver, whatever the size of the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocabulary + 2, np.int64)
@@ -102,14 +100,12 @@ def term_weights(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, float]
         df[term] = n
     rests, ids = df[-2:]
     idf = np.log1p((rests - df[:-2] + 0.5) / (df[:-2] + 0.5))
-    return np.where(df[:-2] > COMMON * rests, 0, idf).astype(np.float32), ids / max(rests, 1)
+    return idf.astype(np.float32), ids / max(rests, 1)
 
 
 def impacts(rest: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """A rest's terms and what each adds to the BM25 score of the rest."""
     terms, tf = np.unique(rest, return_counts=True)
-    tf = tf[told := idf[terms] > 0]
-    terms = terms[told]
     return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(rest) / mean))).astype(np.float32)
 
 
