@@ -4,14 +4,17 @@ Every document's ids are cut into whole windows and one shorter rest. The rests
 terms (token ids) by range partitioning, and each stretch of so many rests in that order is a shard with a BM25 inverted
 index of its own, with the statistics of all documents. A shard packs its rests: the seed, the first that is
 unused, asks the index with all its terms, and its unused neighbours fill the window from the best on; the one that is too
-long for the room left is cut, and what remains of it is the next seed. So every window is full, and only a shard's last
-ids are left over; they go to windows of sizes that are powers of two, and no place is padded.
+long for the room left is cut, and what remains of it is the next seed. So every window is full. What a shard has left,
+less than a window, goes on to the next shard of the partition; only a partition's last ids go to windows of sizes that
+are powers of two, and no place is padded.
 
 Memory is bounded by the shard, not by the data or by a partition; the only thing broadcast is a weight for each id of the
-vocabulary. Shards are the same for the same table, so a task that runs again gives the same windows.
+vocabulary. The range bounds of partitions are sampled, so another run can cut shards elsewhere; within a run, a task that
+is repeated gives the same windows, as its rows are sorted by all that tells them apart.
 
 Defined cases: null text is empty text, so its only id is the end; repeated rows are packed each; rows that tie in all
-their terms go by doc_id; an empty table gives no piece; only the id and text columns are read.
+their terms go by doc_id; a very long text is whole windows and one rest; an empty table gives no piece; only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -141,15 +144,16 @@ class Shard:
         self.left[doc] -= n
         return doc, start, n
 
-    def windows(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Each a list of (rest, start in it, length)."""
+    def windows(self, last: bool = True) -> Iterator[list[tuple[int, int, int]]]:
+        """Each a list of (rest, start in it, length). What is less than a window is left over unless it is the last."""
         unused, first, carried = int(self.left.sum()), 0, -1
         indexed = len(self.rests)
         while unused:
             while self.left[first] == 0:
                 first += 1
             if unused < WINDOW:
-                yield from self._last(first, carried)
+                if last:
+                    yield from self._last(first, carried)
                 return
             seed = carried if carried >= 0 and self.left[carried] else first
             pieces, room = [self._take(seed, int(self.left[seed]))], WINDOW
@@ -212,27 +216,27 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD, with
         weight, length = shared.value
         sequence, held = TaskContext.get().partitionId() << 33, []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            arrays = [_array(data, n % WINDOW) for _, n, data in held]
-            out = []
-            for pieces in Shard(arrays, weight, length).windows():
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, held
+            index, out = Shard([ids for *_, ids in held], weight, length), []
+            for pieces in index.windows(last):
                 offset = 0
                 for i, start, size in pieces:
-                    doc, n, _ = held[i]
-                    out.append(row(doc, n // WINDOW * WINDOW + start, arrays[i][start : start + size], n, sequence * 2, offset))
+                    doc, n, at, ids = held[i]
+                    out.append(row(doc, at + start, ids[start : start + size], n, sequence * 2, offset))
                     offset += size
                 sequence += 1
-            held.clear()
+            held = [(doc, n, at + cut, ids[cut:]) for (doc, n, at, ids), cut in zip(held, index.cut.tolist()) if cut < len(ids)]
             yield _batch(out, names, types)
 
         for b in batches:
             for doc, n, data in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2)):
-                held.append((doc, n, data.as_py()))
-                if len(held) == shard:
-                    yield from close()
+                # a full shard waits for one more rest, as the last of a partition leaves nothing over
+                if len(held) >= shard:
+                    yield from close(False)
+                held.append((doc, n, n // WINDOW * WINDOW, _array(data.as_py(), n % WINDOW)))
         if held:
-            yield from close()
+            yield from close(True)
 
     full = tokens.where(F.col("n") >= WINDOW).select("doc_id", "n", "ids").mapInArrow(whole, schema).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1)
     cut = F.floor(F.col("n") / WINDOW) * WINDOW
