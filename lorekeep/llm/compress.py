@@ -1,43 +1,49 @@
 """Classification by compression: language of a text, and its quality.
 
-For each class a raw-content zstandard dictionary is made of snippets from a bounded sample of its labelled rows. A text
-is compressed, in blocks so that the dictionary stays what matters, with each class's dictionary; the smallest result
-tells the class. Models are a few dictionaries of fixed size, sent to the tasks as part of the function; every text is
-read whole, and rows stay where they are (no shuffle of texts).
+For each class a raw-content zstandard dictionary is made of a bounded sample of its labelled rows. A text is compressed,
+in blocks so that the dictionary stays what matters, with each class's dictionary; the smallest result tells the class.
+Models are dictionaries of a bounded size, broadcast to the tasks; every text is read whole, and rows stay where they are
+(no shuffle of texts).
 
-Samples: rows are taken by a hash of their id below `wanted / rows of the class`, which one count per class gives, so that
-no class is gathered anywhere but for the sample itself, `DOCS` rows of `SNIPPET` characters for each class.
+What a dictionary holds: of each class the `BLOCKS` rows with the least hashes of id and text, whose whole texts are cut into blocks of `SNIPPET` characters. One
+block of each row is taken, chosen by hash, then a second one of each, until there are `BLOCKS`. So every sampled row is in
+it, no place in a text is preferred, and nothing that is gathered is thrown away. `BLOCKS` and `CALIBRATION` are limits for
+each class, however often an id or a row is repeated.
 
 Defined cases: a null text or one without a letter has language `und` and score 0; a null text has the quality of an empty
-one; without any labelled row the language is `und`, and without both labels the quality is their smoothed share;
-documents labelled both ways aren't learned from; ties between languages go to the more frequent one; an empty table gives
-an empty result. Only the id, text, language and label columns are read.
+one; a very long text is compressed block by block; without any labelled row the language is `und`, and without both
+labels the quality is their smoothed share; documents labelled both ways aren't learned from; ties between languages go to
+the more frequent one; rows that are repeated or share an id are judged each; of more than `LANGUAGES` languages the most
+frequent are learned; an empty table gives an empty result. Only the id, text, language and label columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, written
 
-#: A class's dictionary, in bytes, and the snippets that it's made of, in characters.
-DICTIONARY, SNIPPET = 1 << 16, 512
-#: Rows of each class that snippets are taken from, and rows that scores are calibrated on. A dictionary of texts holds the
-#: first of the snippets only: DICTIONARY / (bytes of a snippet), about 127 in ASCII and a third of that in three-byte scripts.
-DOCS, CALIBRATION = 1000, 4000
+#: Blocks in a class's dictionary, and their characters. Languages share ALL_BLOCKS if there are many.
+BLOCKS, SNIPPET, ALL_BLOCKS = 1024, 256, 1 << 16
+#: Rows of each class that scores are calibrated on.
+CALIBRATION = 4000
 LEVEL, LANG_BLOCK, QUALITY_BLOCK = 9, 512, 1024
 #: What zstandard writes around each block; left out of sizes.
 FRAME = 3
 #: A language is rejected if the next one's size is less than this share above.
 MARGIN = 0.01
-#: More classes than this are refused: each text is compressed once for each.
-MOST_CLASSES = 256
+#: How fast a language's share of the score falls with its size above the least, as a share of that.
+SHARPNESS = 60.0
+#: Languages that are learned; digested dictionaries and rows that a task works on at once.
+LANGUAGES, AT_ONCE, ROWS = 4096, 64, 1024
 
 
 def in_training(folds: int = 5) -> Column:
@@ -48,31 +54,45 @@ def held_out(folds: int = 5) -> Column:
     return F.coalesce(~in_training(folds), F.lit(False))
 
 
-def _place() -> Column:
-    """A row's place in [0, 1), by its id alone."""
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+def place() -> Column:
+    """A row's place in the order that samples are taken in."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "text")
 
 
-def shares(counts: dict, wanted: int, most: float = 1.0) -> Column:
-    """Of the class in column `_class`: the share of its rows that gives about `wanted`."""
-    out = F.lit(0.0)
-    for name, n in counts.items():
-        out = F.when(F.col("_class") == name, min(most, wanted / n)).otherwise(out)
-    return out
+def class_counts(slim: DataFrame, most: int) -> DataFrame:
+    """_class and _n, its rows, of the most frequent classes."""
+    return written(slim.groupBy("_class").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_class").limit(most))
+
+
+def sampled(docs: DataFrame, slim: DataFrame, counts: DataFrame, wanted: int) -> DataFrame:
+    """_class, doc_id, text, _rank and _n of the first `wanted` rows of each class in `counts` in the order of their places.
 
+    slim(_class, doc_id, _place) has the labelled rows without their texts, which alone are ranked; so what meets the texts
+    is bounded by `wanted` for each class, and is broadcast."""
+    order = Window.partitionBy("_class").orderBy("_place", "doc_id")
+    first = slim.join(F.broadcast(counts), "_class").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted)
+    first = written(first.select("_class", "doc_id", "_place", "_n").distinct())
+    rows = docs.select("doc_id", "text", place().alias("_place")).join(F.broadcast(first), ["doc_id", "_place"])
+    order = Window.partitionBy("_class").orderBy("_place", "doc_id", "text")
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted).select("_class", "doc_id", "text", "_rank", "_n")
 
-def snippets(rows: DataFrame) -> dict[object, list[str]]:
-    """The sampled rows' (_class, doc_id, text): the middle of each text, in an order of hashes."""
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - SNIPPET) / 2).cast("int") + 1)
+
+def snippets(rows: DataFrame, blocks: int) -> dict[object, list[str]]:
+    """Blocks of the sampled rows' whole texts, one of each row, then a second one of each, and so on."""
+    pieces = F.greatest(F.ceil(F.length("text") / SNIPPET), F.lit(1)).cast("int")
+    cut = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("_turn_hash", F.xxhash64("doc_id", "_rank", "_at"))
+    turn = F.row_number().over(Window.partitionBy("_class", "_rank").orderBy("_turn_hash", "_at"))
+    cut = cut.select("_class", "_rank", "_turn_hash", turn.alias("_turn"), F.col("text").substr(F.col("_at") * SNIPPET + 1, F.lit(SNIPPET)).alias("text"))
+    order = Window.partitionBy("_class").orderBy("_turn", "_rank")
+    got = cut.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= blocks).select("_class", "_n", "text").collect()
     out: dict[object, list[str]] = {}
-    got = rows.select("_class", F.col("text").substr(start, F.lit(SNIPPET)).alias("text"), _place().alias("at"), "doc_id").collect()
-    for r in sorted(got, key=lambda r: (r["at"], str(r["doc_id"]), r["text"])):
+    for r in sorted(got, key=lambda r: r["_n"]):
         out.setdefault(r["_class"], []).append(r["text"])
     return out
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    return b"\n".join(texts)[:size]
+def dictionary(texts: list[bytes]) -> bytes:
+    return b"\n".join(texts)
 
 
 def compressor(content: bytes, level: int = LEVEL) -> Callable[[bytes], bytes]:
@@ -96,7 +116,7 @@ _compressors: dict[bytes, Callable[[bytes], bytes]] = {}
 def kept_compressor(content: bytes) -> Callable[[bytes], bytes]:
     """The same in each task of a worker; digesting a dictionary takes long."""
     if content not in _compressors:
-        if len(_compressors) > 2 * MOST_CLASSES:
+        if len(_compressors) > 2 * AT_ONCE:
             _compressors.clear()
         _compressors[content] = compressor(content)
     return _compressors[content]
@@ -104,38 +124,51 @@ def kept_compressor(content: bytes) -> Callable[[bytes], bytes]:
 
 def learn_languages(docs: DataFrame) -> list[tuple[str, bytes]]:
     """Each language and its dictionary, the most frequent one first."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & in_training()).withColumn("_class", F.col("lang"))
-    counts = {r["_class"]: r["n"] for r in known.groupBy("_class").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()}
-    if len(counts) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} languages")
-    found = snippets(known.where(_place() < shares(counts, DOCS)))
-    order = sorted(counts, key=lambda x: (-counts[x], x))
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & in_training())
+    slim = written(known.select(F.col("lang").alias("_class"), "doc_id", place().alias("_place")))
+    counts = class_counts(slim, LANGUAGES)
+    order = [r["_class"] for r in sorted(counts.collect(), key=lambda r: (-r["_n"], r["_class"]))]
+    blocks = min(BLOCKS, ALL_BLOCKS // max(len(order), 1))
+    found = snippets(sampled(known, slim, counts, blocks), blocks)
     return [(x, dictionary([t.lower().encode() for t in found.get(x, [])])) for x in order]
 
 
-def language(text: str | None, names: list[str], compressors: list, margin: float = MARGIN) -> tuple[str, float, bool]:
-    """The language, a score, and whether the margin is too narrow to rely on it."""
-    if not text or not names or not any(map(str.isalpha, text)):
-        return "und", 0.0, True
-    data = text.lower().encode()
-    sizes = np.array([size(c, data, LANG_BLOCK) for c in compressors])
-    best = int(sizes.argmin())
-    score = 1 / np.exp(-0.5 * (sizes - sizes[best])).sum()
-    others = np.delete(sizes, best)
-    return names[best], float(score), bool(len(others) and others.min() - sizes[best] < margin * sizes[best])
+def sizes(texts: list[bytes], contents: list[bytes], block: int = LANG_BLOCK) -> np.ndarray:
+    """Of each text, with each dictionary; so many dictionaries are digested at a time as a worker keeps."""
+    out = np.zeros((len(texts), len(contents)))
+    for start in range(0, len(contents), AT_ONCE):
+        for j, content in enumerate(contents[start : start + AT_ONCE], start):
+            compress = kept_compressor(content)
+            out[:, j] = [size(compress, x, block) for x in texts]
+    return out
+
+
+def languages(texts: list[str | None], names: list[str], contents: list[bytes], margin: float = MARGIN) -> list[tuple[str, float, bool]]:
+    """Of each text the language, a score, and whether the margin is too narrow to rely on it. The score goes by the sizes'
+    shares above the least, so that it doesn't rise with the length of a text."""
+    told = [i for i, x in enumerate(texts) if x and names and any(map(str.isalpha, x))]
+    out = [("und", 0.0, True)] * len(texts)
+    for i, found in zip(told, sizes([texts[i].lower().encode() for i in told], contents)):
+        best = int(found.argmin())
+        above = found / max(found[best], 1) - 1
+        others = np.delete(above, best)
+        out[i] = names[best], float(1 / np.exp(-SHARPNESS * np.maximum(above, 0)).sum()), bool(len(others) and others.min() < margin)
+    return out
 
 
 def identify(docs: DataFrame, models: list[tuple[str, bytes]]) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every text; the function sees nothing else of a row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [name for name, _ in models]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = [kept_compressor(x) for _, x in models]
-        for b in batches:
-            found = [language(x.as_py(), names, compressors) for x in b.column(1)]
-            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
+        names, contents = [x for x, _ in shared.value], [x for _, x in shared.value]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                found = languages(b.column(1).to_pylist(), names, contents)
+                columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
@@ -191,54 +224,62 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
         .groupBy("doc_id")
         .agg(F.min("quality").alias("_class"), F.max("quality").alias("_most"))
         .where("_class = _most")
-        .select("doc_id", "_class")
+        .select(F.col("doc_id").alias("_labelled"), "_class")
     )
-    counts = {int(r["_class"]): r["n"] for r in known.groupBy("_class").agg(F.count("*").alias("n")).collect()}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    if len(counts) < 2:
+    texts = docs.where(F.col("text").isNotNull())
+    slim = texts.select("doc_id", place().alias("_place")).join(known, F.col("doc_id") == F.col("_labelled"))
+    slim = written(slim.select("_class", "doc_id", "_place"))
+    counts = class_counts(slim, 2)
+    n = {int(r["_class"]): r["_n"] for r in counts.collect()}
+    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
+    if len(n) < 2:
         return {"prior": prior}
-    first, then = shares(counts, DOCS, 0.5), shares(counts, CALIBRATION, 1.0)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    # both samples are bounded by DOCS and CALIBRATION, so broadcasting their ids is
-    found = snippets(texts.join(F.broadcast(known.where(_place() < first)), "doc_id"))
-    parts = [[t.encode() for t in found.get(k, [])] for k in (0, 1)]
+    # one sample for both: the first half of a class at most makes its dictionary
+    drawn = written(sampled(texts, slim, counts, BLOCKS + CALIBRATION))
+    first = F.col("_rank") <= F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / 2))
+    found = snippets(drawn.where(first), BLOCKS)
+    # as many blocks of both, so that neither dictionary is better by its size
+    least = min(len(found.get(k, [])) for k in (0, 1))
+    parts = [[t.encode() for t in found.get(k, [])[:least]] for k in (0, 1)]
     model = {"prior": prior, "words": [dictionary(x) for x in parts], "forms": [dictionary([form(t) for t in x]) for x in parts]}
-    held = texts.join(F.broadcast(known.where((_place() >= first) & (_place() < first + then))), "doc_id")
-    rows = measured(held, model, "_class int").select("_class", "x0", "x1", "x2").collect()
+    rows = measured(drawn.where(~first), model, ["_class"]).select("row._class", "x0", "x1", "x2").collect()
     y = np.array([r["_class"] for r in rows], float)
     if len(set(y)) == 2:
         # each class was sampled at its own rate, so its rows are weighed back to its share
         x = np.array([[r["x0"], r["x1"], r["x2"]] for r in rows])
         w = fit(x, y)
-        drawn = y.mean()
-        w[0] += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
+        share = y.mean()
+        w[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
         model["weights"] = w.tolist()
     return model
 
 
-def measured(docs: DataFrame, model: dict, more: str = "") -> DataFrame:
-    """doc_id, x0, x1 and x2 of every text, and a further column named in `more`."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = more.split()[:1]
+def measured(docs: DataFrame, model: dict, carried: Sequence[str]) -> DataFrame:
+    """x0, x1 and x2 of every text, and its row: a struct of the columns to carry, whatever their names."""
+    own = "text" in carried
+    rows = docs.select(F.struct(*carried).alias("row"), *([] if own else ["text"]))
+    kind = rows.schema["row"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, forms = ([kept_compressor(x) for x in model[k]] for k in ("words", "forms"))
+        words, forms = ([kept_compressor(x) for x in shared.value[k]] for k in ("words", "forms"))
         plain = kept_compressor(b"")
         for b in batches:
-            found = [features(x.as_py(), words, forms, plain) for x in b.column(1)]
+            texts = b.column(0).field("text") if own else b.column(1)
+            found = [features(x.as_py(), words, forms, plain) for x in texts]
             columns = [pa.array([x[i] for x in found], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *b.columns[2:]], ["doc_id", "x0", "x1", "x2", *extra])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "x0", "x1", "x2"])
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, f"doc_id {kind}, x0 double, x1 double, x2 double" + f", {more}" * bool(more))
+    return rows.mapInArrow(run, f"row {kind}, x0 double, x1 double, x2 double")
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score, the probability of label 1."""
+def scored(docs: DataFrame, model: dict, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """row (the columns to carry) and score, the probability of label 1, of every row."""
     if "weights" not in model:
-        return docs.select("doc_id", F.lit(model["prior"]).alias("score"))
+        return docs.select(F.struct(*carried).alias("row"), F.lit(model["prior"]).alias("score"))
     w = model["weights"]
     z = F.lit(w[0]) + F.col("x0") * w[1] + F.col("x1") * w[2] + F.col("x2") * w[3]
-    return measured(docs, model).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return measured(docs, model, carried).select("row", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,5 +293,5 @@ LEAST_SCORE = 0.3
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = scored(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+    rows = scored(docs, learn_quality(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "score")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
