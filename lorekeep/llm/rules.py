@@ -1,22 +1,27 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Base measures are computed over the whole text. A rule rejects a document whose ratio is above a cutoff. For each stratum
-and rule the cutoffs are tried from the loosest on, on the labelled documents: a cutoff passes if, were the true rate of
-rejected good documents `risk` or more, so few rejections as were seen would have a probability of at most
-`doubt / (strata * rules)` (the exact binomial tail, so that the exact upper confidence bound is below `risk`). The first
-that fails ends the row, so trying many cutoffs needs no further correction (fixed-sequence testing); the division over
-strata and rules is Bonferroni's. With probability 1 - doubt, every rule in every stratum then rejects less than `risk`
-of good documents. Of the cutoffs that pass, the one with the best balance of bad and good documents rejected is used;
-a rule with none, as in a stratum with few labels, rejects nothing.
-
-Defined cases: null text has no words; a null stratum is a stratum; a document labelled both ways counts as good, as that
-is the careful side; labels that are null or neither 0 nor 1 are left out; repeated rows are measured each; empty tables
-give an empty result. Only the id, text and stratum columns are read, so other columns can have any names.
+Base measures are computed over the whole text. A rule rejects a document whose ratio is above a cutoff. Labelled texts,
+each distinct one of a stratum once, are split in two by a hash. On the first half the pairs of a rule and a cutoff that
+reject more than they cost are put in a row, from the fewest good texts rejected on; each prefix of the row is a set of
+rules with one cutoff each, and the sets grow. The second half, the holdout, tests the sets in that order by what they
+reject together: a set passes if, were the true rate of rejected good texts `risk` or more, so few rejections as were seen
+would have a probability of at most `doubt / strata` (the exact binomial tail, so that the exact upper confidence bound is
+below `risk`). The first that fails ends the row, so trying many sets needs no further correction (fixed-sequence testing);
+the division over strata is Bonferroni's. With probability 1 - doubt, the rules of every stratum then reject, all together,
+less than `risk` of its good texts. Of the sets that pass, the one with the best balance of bad and good texts rejected is
+used; a stratum with few labels (217 good ones in the holdout for four strata) has no learned rule. The base rules hold
+everywhere, whatever labels say, and are not part of the guarantee.
+
+Defined cases: null text has no words; a null stratum is a stratum; a text labelled both ways counts as good, as that is
+the careful side; labels that are null or neither 0 nor 1 are left out; repeated rows, null ids and shared ids are measured
+and judged each by their own text; a very long text is measured whole, in its own row; empty tables give an empty result.
+Only the id, text and stratum columns are read, so other columns can have any names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +31,7 @@ from .common import SPACES, WORD, null_safe, table, written
 
 #: Words in a window that is looked for again in the same text.
 WINDOW = 8
-#: Rates of rejected good documents for each rule and stratum, and the probability that any is above.
+#: The rate of good texts that a stratum's rules may reject together, and the probability that any stratum's is above.
 RISK, DOUBT = 0.02, 0.05
 #: A good document that is rejected weighs as this many bad ones that are kept.
 GOOD_WEIGHS = 4
@@ -56,14 +61,16 @@ def _rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
     return {name: (value, CUTS[name]) for name, value in values.items()}
 
 
-def measures(docs: DataFrame, stratum: str = "lang", window: int = WINDOW) -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_upper, n_repeat_words of whole texts.
+def measures(docs: DataFrame, carried: Sequence[str] = ("doc_id",), stratum: str = "lang", window: int = WINDOW) -> DataFrame:
+    """row (a struct of the columns to carry), doc_id, stratum, digest (of the text) and n_words, word_chars, n_symbols,
+    n_dup_lines, n_lines, n_upper, n_repeat_words of whole texts.
 
     A window of words is compared by its 64-bit hash. Positions of windows that occur again are found by sorting the
     text's hashes only if some hash occurs again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(SPACES))
     rows = docs.select(
+        F.struct(*carried).alias("row"),
         "doc_id",
         F.col(stratum).cast("string").alias("stratum"),
         text.alias("_text"),
@@ -72,8 +79,10 @@ def measures(docs: DataFrame, stratum: str = "lang", window: int = WINDOW) -> Da
     )
     n = F.size("_words")
     rows = rows.select(
+        "row",
         "doc_id",
         "stratum",
+        F.md5("_text").alias("digest"),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -108,65 +117,87 @@ def log_gamma(x: Column) -> Column:
     return series - shift
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 10_000) -> Column:
-    """P(Bin(n, p) <= k), for k < n p; 1 elsewhere. The sum runs down from k, as its terms fall from there; what is left
-    after `terms` of them is bounded by a geometric row and added, so that the result is never too small."""
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k), for k < n p; 1 elsewhere. The sum runs down from k, as its terms fall from there: the j-th is
+    below exp(-j (j - 1) / 2 k) times the first, so that those after 10 roots of k are less than the digits of a double."""
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-    ratio = lambda j: (k - j + 1) / (n - k + j) * ((1 - p) / p)
-    zero = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"), F.lit(0.0).alias("ratio"))
+    zero = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
 
     def step(s: Column, j: Column) -> Column:
-        r = ratio(j)
-        return F.struct((s["sum"] + s["term"] * r).alias("sum"), (s["term"] * r).alias("term"), r.alias("ratio"))
+        term = s["term"] * ((k - j + 1) / (n - k + j) * ((1 - p) / p))
+        return F.struct((s["sum"] + term).alias("sum"), term.alias("term"))
 
-    rest = lambda s: s["sum"] + F.when(k > terms, s["term"] * s["ratio"] / (1 - s["ratio"])).otherwise(0.0)
-    summed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(k, F.lit(float(terms))), F.lit(1.0)).cast("int")), zero, step, rest)
+    terms = F.greatest(F.least(k, F.ceil(10 * F.sqrt(k)) + 20), F.lit(1)).cast("int")
+    summed = F.aggregate(F.sequence(F.lit(1), terms), zero, step, lambda s: s["sum"])
     return F.when(k >= n * p, 1.0).when(k == 0, first).otherwise(F.least(first * summed, F.lit(1.0)))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """stratum and one cutoff for each rule (null: none passed), from the labelled rows of `measured`."""
-    rules = _rules()
+def _few(strata: DataFrame) -> DataFrame:
+    """A table with a row for each stratum, broadcast only if they are counted to be few."""
+    return F.broadcast(strata) if strata.count() <= MOST_BROADCAST else strata
+
+
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, good, held (in the holdout) and levels of each distinct text that has labels. A level is, for each rule,
+    the number of the first cutoff that rejects; past the last if none does."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("_labelled"))
         .agg(F.max("quality").alias("_quality"))
     )
-    parts = [
-        # the number of the first cutoff that rejects; past the last if none does
-        F.struct(F.lit(name).alias("rule"), (sum((F.when(value > c, 0).otherwise(1) for c in cuts), F.lit(1))).alias("level"))
-        for name, (value, cuts) in rules.items()
-    ]
-    rows = measured.join(known, measured["doc_id"] == known["_labelled"]).select("stratum", "_quality", F.explode(F.array(*parts)).alias("x"))
-    counts = rows.groupBy("stratum", "x.rule", "x.level").agg(
-        F.count_if(F.col("_quality") == 1).alias("good"), F.count_if(F.col("_quality") == 0).alias("bad")
+    levels = F.array(*(sum((F.when(value > c, 0).otherwise(1) for c in cuts), F.lit(1)) for value, cuts in _rules().values()))
+    rows = measured.join(known, measured["doc_id"] == known["_labelled"]).select("stratum", "digest", "_quality", levels.alias("levels"))
+    rows = rows.groupBy("stratum", "digest").agg((F.max("_quality") == 1).alias("good"), F.max("levels").alias("levels"))
+    return rows.select("stratum", "good", (F.substring("digest", 1, 1) >= "8").alias("held"), "levels")
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """stratum and one cutoff for each rule (null: none passed), from the labelled rows of `measured`."""
+    rows = written(labelled(measured, labels))
+    n_good, n_bad = F.count_if("good"), F.count_if(~F.col("good"))
+    totals = written(
+        rows.groupBy("stratum").agg(
+            *(F.count_if((F.col("good") == good) & (F.col("held") == held)).alias(f"n_{name}_{part}") for good, name in ((True, "good"), (False, "bad")) for held, part in ((False, "first"), (True, "held")))
+        )
     )
-    # a row for each cutoff, though no document may have it as its first
-    cut = F.explode(F.expr("map(" + ", ".join(f"'{name}', array({', '.join(f'{c}D' for c in cuts)})" for name, (_, cuts) in rules.items()) + ")"))
-    grid = counts.select("stratum").distinct().select("stratum", cut.alias("rule", "cuts")).select("stratum", "rule", F.posexplode("cuts").alias("pos", "cutoff"))
-    grid = grid.select("stratum", "rule", (F.col("pos") + 1).alias("level"), "cutoff")
-    total = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    grid = null_safe(null_safe(grid, counts, ["stratum", "rule", "level"], "left"), total, ["stratum", "rule"])
-    so_far = Window.partitionBy("stratum", "rule").orderBy("level")
-    grid = grid.withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in ("good", "bad")})
-    grid = written(grid)
-    strata = grid.select("stratum").distinct().count()
-    grid = grid.withColumn("_fails", binomial_tail(F.col("good"), F.col("n_good"), risk) > doubt / (max(strata, 1) * len(rules)))
-    grid = grid.where("n_good > 0").withColumn("_failed", F.max("_fails").over(so_far)).where("not _failed")
-    grid = grid.withColumn("_gain", F.col("bad") - GOOD_WEIGHS * F.col("good") * F.greatest(F.col("n_bad"), F.lit(1)) / F.col("n_good"))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("_gain"), "level")
-    grid = grid.where("_gain > 0").withColumn("_best", F.row_number().over(best)).where("_best = 1")
-    return grid.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"max_{name}") for name in rules))
-
-
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """The measures of each document, with base_failed, rejected_by (names of rules) and kept."""
-    measured = written(measures(docs, stratum))
-    cutoffs = written(thresholds(measured, labels, risk, doubt))
-    if cutoffs.count() <= MOST_BROADCAST:
-        cutoffs = F.broadcast(cutoffs)
-    rows = null_safe(measured, cutoffs, ["stratum"], "left")
+    gain = lambda part: F.col("bad") - GOOD_WEIGHS * F.col("good") * F.greatest(F.col(f"n_bad_{part}"), F.lit(1)) / F.col(f"n_good_{part}")
+    so_far = lambda within, by: Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    # every cutoff of every rule and what it rejects in the first half
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(k).alias("level"), F.lit(float(c)).alias("cutoff")) for i, cuts in enumerate(CUTS.values()) for k, c in enumerate(cuts, 1)]
+    grid = totals.select("stratum", "n_good_first", "n_bad_first", F.inline(F.array(*cells)))
+    counts = rows.where("not held").select("stratum", "good", F.posexplode("levels").alias("place", "level"))
+    counts = counts.groupBy("stratum", "place", "level").agg(n_good.alias("good"), n_bad.alias("bad"))
+    grid = null_safe(grid, counts, ["stratum", "place", "level"], "left")
+    grid = grid.withColumns({c: F.coalesce(F.sum(c).over(so_far(["stratum", "place"], "level")), F.lit(0)) for c in ("good", "bad")})
+    worth = (F.col("n_good_first") > 0) & (gain("first") > 0)
+    order = Window.partitionBy("stratum", "_worth").orderBy("good", F.desc("bad"), "place", "level")
+    grid = grid.withColumn("_worth", worth).withColumn("step", F.when(F.col("_worth"), F.row_number().over(order)))
+    grid = written(grid.select("stratum", "place", "level", "cutoff", "step"))
+    # what the sets reject together in the holdout: each text counts at its first step
+    downward = Window.partitionBy("stratum", "place").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    firsts = grid.withColumn("first", F.min("step").over(downward)).groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("place", "level", "first"))).alias("_firsts"))
+    held = null_safe(rows.where("held"), _few(written(firsts)), ["stratum"])
+    starts = F.array(*(F.lit(sum(map(len, list(CUTS.values())[:i]))) for i in range(len(CUTS))))
+    lengths = F.array(*(F.lit(len(cuts)) for cuts in CUTS.values()))
+    step = lambda level, i: F.when(level <= F.get(lengths, i), F.get("_firsts", F.get(starts, i) + level - 1)["first"])
+    held = held.select("stratum", "good", F.array_min(F.transform("levels", step)).alias("step")).where("step is not null")
+    seen = held.groupBy("stratum", "step").agg(n_good.alias("good"), n_bad.alias("bad"))
+    steps = null_safe(grid.where("step is not null").select("stratum", "step"), seen, ["stratum", "step"], "left")
+    steps = null_safe(steps, totals.select("stratum", "n_good_held", "n_bad_held"), ["stratum"])
+    steps = steps.withColumns({c: F.coalesce(F.sum(c).over(so_far(["stratum"], "step")), F.lit(0)) for c in ("good", "bad")})
+    steps = steps.where("n_good_held > 0").withColumn("_fails", binomial_tail(F.col("good"), F.col("n_good_held"), risk) > doubt / max(totals.count(), 1))
+    steps = steps.withColumn("_failed", F.max("_fails").over(so_far(["stratum"], "step"))).where("not _failed").withColumn("_gain", gain("held"))
+    best = Window.partitionBy("stratum").orderBy(F.desc("_gain"), "step")
+    used = steps.where("_gain > 0").withColumn("_n", F.row_number().over(best)).where("_n = 1").select("stratum", F.col("step").alias("_last"))
+    grid = null_safe(grid.where("step is not null"), used, ["stratum"]).where("step <= _last")
+    return grid.groupBy("stratum").agg(*(F.min(F.when(F.col("place") == i, F.col("cutoff"))).alias(f"max_{name}") for i, name in enumerate(CUTS)))
+
+
+def judged(docs: DataFrame, labels: DataFrame, carried: Sequence[str] = ("doc_id",), stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """The measures of each document and the columns to carry in `row`, with base_failed, rejected_by (names of rules) and kept."""
+    measured = written(measures(docs, carried, stratum))
+    rows = null_safe(measured, _few(written(thresholds(measured, labels, risk, doubt))), ["stratum"], "left")
     hits = [F.when(value > F.col(f"max_{name}"), F.lit(name)) for name, (value, _) in _rules().items()]
     rows = rows.withColumn("rejected_by", F.array_compact(F.array(*hits))).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
@@ -188,7 +219,7 @@ def _sql() -> str:
         "long_words": "word_chars / greatest(n_words, 1)::DOUBLE",
     }
     parts = " UNION ALL ".join(
-        f"SELECT r, doc_id, stratum, {i} AS place, '{rule}' AS rule, {values[rule]} AS value, {list(cuts)}::DOUBLE[] AS cuts FROM m" for i, (rule, cuts) in enumerate(CUTS.items())
+        f"SELECT r, doc_id, stratum, digest, {i} AS place, '{rule}' AS rule, {values[rule]} AS value, {list(cuts)}::DOUBLE[] AS cuts FROM m" for i, (rule, cuts) in enumerate(CUTS.items())
     )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
@@ -196,18 +227,27 @@ w AS (SELECT r, doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') A
 win AS (SELECT r, i, list_slice(w, i, i + {WINDOW - 1}) AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) > {WINDOW})),
 rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
 cov AS (SELECT r, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM rep) GROUP BY r),
-m AS (SELECT w.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+m AS (SELECT w.r, doc_id, stratum, md5(t) AS digest, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON cov.r = w.r),
 x AS ({parts}),
 known AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
-u AS (SELECT stratum, rule, value, q, unnest(cuts) AS cut, generate_subscripts(cuts, 1) AS level FROM x JOIN known USING (doc_id)),
-g AS (SELECT stratum, rule, level, cut, count(*) FILTER (WHERE q = 1 AND value > cut) AS good, count(*) FILTER (WHERE q = 0 AND value > cut) AS bad,
-  count(*) FILTER (WHERE q = 1) AS n_good, count(*) FILTER (WHERE q = 0) AS n_bad FROM u GROUP BY ALL),
-p AS (SELECT *, CASE WHEN good >= n_good * {RISK} THEN 1 ELSE list_sum([exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({RISK}) + (n_good - i) * ln(1 - {RISK}))
-  FOR i IN range(0, good + 1)]) END > {DOUBT} / ({len(CUTS)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM g))) AS fails FROM g WHERE n_good > 0),
-s AS (SELECT *, bad - {GOOD_WEIGHS} * good * greatest(n_bad, 1) / n_good::DOUBLE AS gain, bool_or(fails) OVER (PARTITION BY stratum, rule ORDER BY level) AS failed FROM p),
-c AS (SELECT stratum, rule, cut FROM s WHERE NOT failed AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, level) = 1),
+lab AS (SELECT stratum, digest, max(q) = 1 AS good, digest >= '8' AS held FROM m JOIN known USING (doc_id) GROUP BY stratum, digest),
+v AS (SELECT DISTINCT x.stratum, x.digest, place, rule, value, cuts, good, held FROM x JOIN lab ON x.stratum IS NOT DISTINCT FROM lab.stratum AND x.digest = lab.digest),
+tot AS (SELECT stratum, count(*) FILTER (WHERE good AND NOT held) AS good_a, count(*) FILTER (WHERE NOT good AND NOT held) AS bad_a,
+  count(*) FILTER (WHERE good AND held) AS good_b, count(*) FILTER (WHERE NOT good AND held) AS bad_b FROM lab GROUP BY stratum),
+u AS (SELECT stratum, digest, place, rule, value, good, held, unnest(cuts) AS cut, generate_subscripts(cuts, 1) AS level FROM v),
+g AS (SELECT stratum, place, rule, level, cut, count(*) FILTER (WHERE NOT held AND good AND value > cut) AS good, count(*) FILTER (WHERE NOT held AND NOT good AND value > cut) AS bad FROM u GROUP BY ALL),
+cand AS (SELECT g.*, row_number() OVER (PARTITION BY g.stratum ORDER BY good, bad DESC, place, level) AS step FROM g JOIN tot ON g.stratum IS NOT DISTINCT FROM tot.stratum
+  WHERE good_a > 0 AND bad - {GOOD_WEIGHS} * good * greatest(bad_a, 1) / good_a::DOUBLE > 0),
+hit AS (SELECT u.stratum, u.digest, u.good, min(step) AS step FROM u JOIN cand c ON u.stratum IS NOT DISTINCT FROM c.stratum AND u.rule = c.rule AND u.level = c.level AND value > u.cut WHERE held GROUP BY ALL),
+p AS (SELECT c.stratum, c.step, good_b, bad_b, (SELECT count(*) FROM hit WHERE hit.stratum IS NOT DISTINCT FROM c.stratum AND hit.step <= c.step AND hit.good) AS good,
+  (SELECT count(*) FROM hit WHERE hit.stratum IS NOT DISTINCT FROM c.stratum AND hit.step <= c.step AND NOT hit.good) AS bad FROM cand c JOIN tot ON c.stratum IS NOT DISTINCT FROM tot.stratum WHERE good_b > 0),
+f AS (SELECT *, CASE WHEN good >= good_b * {RISK} THEN 1 ELSE list_sum([exp(lgamma(good_b + 1) - lgamma(i + 1) - lgamma(good_b - i + 1) + i * ln({RISK}) + (good_b - i) * ln(1 - {RISK}))
+  FOR i IN range(0, good + 1)]) END > {DOUBT} / (SELECT count(*) FROM tot) AS fails, bad - {GOOD_WEIGHS} * good * greatest(bad_b, 1) / good_b::DOUBLE AS gain FROM p),
+s AS (SELECT *, bool_or(fails) OVER (PARTITION BY stratum ORDER BY step) AS failed FROM f),
+chosen AS (SELECT stratum, step FROM s WHERE NOT failed AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, step) = 1),
+c AS (SELECT cand.stratum, rule, min(cut) AS cut FROM cand JOIN chosen ON cand.stratum IS NOT DISTINCT FROM chosen.stratum AND cand.step <= chosen.step GROUP BY cand.stratum, rule),
 h AS (SELECT r, string_agg(x.rule, ',' ORDER BY place) AS rejected_by FROM x JOIN c ON x.stratum IS NOT DISTINCT FROM c.stratum AND x.rule = c.rule AND x.value > c.cut GROUP BY r),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
