@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 
 from lorekeep.storage import new_folder, written
 
-__all__ = ["SPACES", "WORD", "components", "new_folder", "null_safe", "ranked", "table", "written"]
+__all__ = ["SPACES", "WORD", "components", "new_folder", "null_safe", "ranked", "spread_join", "table", "written"]
 
 #: A word is a run of anything but a space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: A key with more than a share of 1 / HOT_KEYS of all rows, and with more than LEAST_HOT, is dealt to several parts.
+HOT_KEYS, LEAST_HOT = 1000, 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +55,24 @@ def null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
     return left.join(right, on, how).drop(*names.values())
 
 
+def spread_join(rows: DataFrame, others: DataFrame, key: str, by: Sequence[str] = (), counts: DataFrame | None = None, how: str = "inner", merge: bool = False) -> DataFrame:
+    """rows joined with others, which has a row for each value of `key`, however many rows share one.
+
+    The rows of a hot key are dealt to parts, by a hash of the columns `by` or, of a written table, by their numbers; the
+    other side's row is there once for each part. There can't be more than HOT_KEYS hot keys, so their table is broadcast.
+    `counts` has _n for each key if it's known; else the rows are counted, so they should be cheap to read."""
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = written(counts.select(key, "_n"))
+    limit = max(LEAST_HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    number = F.xxhash64(*by) if by else F.monotonically_increasing_id()
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("_salt", F.pmod(number, parts).cast("int")).drop("_hot", "_parts")
+    right = others.join(hot, others[key] == hot["_hot"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return (left.hint("merge") if merge else left).join(right, [key, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs, any direction; returns (node, root), root the least node that a node reaches.
 
@@ -63,10 +84,12 @@ def components(links: DataFrame) -> DataFrame:
     )
     while True:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("root"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("root"))
-        small = large.join(least, "hi")
+        # a node with links to a third of all others is in no task alone
+        least = written(both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("root"), F.count("*").alias("_n")))
+        large = spread_join(both, least.drop("_n"), "hi", ["lo"], least).where("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+        large = written(large.distinct())
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("root"), F.count("*").alias("_n")))
+        small = spread_join(large, least.drop("_n"), "hi", ["lo"], least)
         edges = written(
             small.where("lo <> root")
             .select(F.col("lo").alias("hi"), F.col("root").alias("lo"))

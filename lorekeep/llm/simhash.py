@@ -8,8 +8,9 @@ once more by counting bits, stands for all their pairs; and a variant can't hold
 points, 65 for radius 2, however many documents there are. Copies share a fingerprint and are one row in all of this.
 
 Defined cases: null or empty text and text of spaces has fingerprint zero, which is linked like any other; fewer words
-than a shingle has give the whole sequence as one; repeated rows are copies; null ids belong to the component but can't
-name it; an empty table gives an empty result. Only the id and text columns are read.
+than a shingle has give the whole sequence as one; a very long text is hashed block by block; repeated rows are copies; ties
+between ids don't arise, as the least one names a component; null ids belong to the component but can't name it, so one of
+null ids alone has a null name; an empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, table, written
+from .common import components, spread_join, table, written
 
 BITS = 64
 #: Shingles that are turned to bits at once.
@@ -79,13 +80,14 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id, the least id of all documents that links reach."""
     prints = written(fingerprints(docs, shingle))
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
     roots = written(components(links(classes, radius)))
     least = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select("node", "least")
     named = classes.join(linked, classes["fp"] == linked["node"], "left")
-    named = named.select(F.col("fp").alias("_fp"), F.coalesce("least", "first").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    named = named.select("fp", F.coalesce("least", "first").alias("component_id"))
+    # a group of copies is one fingerprint
+    return spread_join(prints, named, "fp", counts=classes).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str) -> Column:
