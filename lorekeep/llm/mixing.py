@@ -6,7 +6,7 @@ and a document is emitted once for each integer that its interval crosses. In or
 the target by little more than one long document.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and gives nothing; repeated rows count as documents of their own; of rows that tie in size and id any may be
+target 0 and gives nothing; a very long text counts whole, so a source may miss its target by one such; repeated rows count as documents of their own; of rows that tie in size and id any may be
 the one that is taken once more; an empty table gives an empty result. Only the id, text and source columns are read, so
 other columns can have any names.
 """
@@ -66,11 +66,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns. Rows are told by their ids; one null id is
-    an id like others."""
-    copies = taken.where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode("_mix_copies")).drop("_mix_id", "_mix_copies", "_mix_copy")
+    """The documents as often as the mix takes them, with their own columns. Rows are told by their ids, which should be
+    each row's own; one null id is an id like others."""
+    rows = docs.select(F.struct("*").alias("row"))
+    copies = taken.where("copies > 0").select("doc_id", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copies"))
+    joined = rows.join(copies, rows["row.doc_id"].eqNullSafe(copies["doc_id"]))
+    return joined.select("row", F.explode("copies")).select("row.*")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

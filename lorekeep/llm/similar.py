@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, spread_join, written
 from .simhash import deduplicated
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Pairs whose share of equal minima is less than this are left: at a true 0.8 that is over four deviations off.
-LEAST_GUESS = 0.55
+#: Pairs whose share of equal minima is less than this are left: at a true 0.8 that is over five deviations off.
+LEAST_GUESS = 0.5
 #: Members in a block; a cell is two blocks.
 BLOCK = 1024
 #: Shingles that are counted at once in a cell.
@@ -105,11 +105,12 @@ def met(classes: DataFrame) -> DataFrame:
     """id, band, at (the band's number), n and leader of classes that share a band. The leader is the member whose bands
     have the most members in all, so an original rather than a copy of it that was edited; ties by a hash."""
     rows = written(_banded(classes))
-    shared = written(rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    counts = written(rows.groupBy("band").agg(F.count("*").alias("_n")))
+    shared = written(spread_join(rows, counts.where("_n > 1").withColumnRenamed("_n", "n"), "band", counts=counts))
     weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     order = F.struct("weight", F.xxhash64("id", "band"))
     leaders = shared.select("id", "band").join(weights, "id").groupBy("band").agg(F.max_by("id", order).alias("leader"))
-    return written(shared.join(leaders, "band"))
+    return written(spread_join(shared, leaders, "band", counts=counts.where("_n > 1")))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -121,13 +122,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def leader_pairs(docs: DataFrame, classes: DataFrame, shared: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): a member and a leader of its bands that share at least `least` of their shingles."""
-    pairs = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    pairs = written(shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    joined = lambda pairs, rows, name, n: spread_join(pairs, rows(name), name, ["a", "b"], n.groupBy(name).agg(F.count("*").alias("_n")), merge=True)
     side = lambda name: classes.select(F.col("id").alias(name), F.col("minima").alias(f"{name}_minima"))
     alike = F.aggregate(F.zip_with("a_minima", "b_minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike >= LEAST_GUESS * BANDS * ROWS).select("a", "b"))
+    both = joined(joined(pairs, side, "a", pairs), side, "b", pairs)
+    likely = written(both.where(alike >= LEAST_GUESS * BANDS * ROWS).select("a", "b"))
     texts = _texts(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
     text = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
-    pairs = likely.hint("merge").join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+    pairs = joined(joined(likely, text, "a", likely), text, "b", likely).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,8 +171,8 @@ def cells(shared: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = shared.where("n > 2").select("id", "band", "at")
     rows = written(rows.join(roots, rows["id"] == roots["node"], "left").select("id", "band", "at", F.coalesce("root", "id").alias("root")))
     counts = rows.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band")
-    open_ = counts.agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("largest")).where("n > most")
-    rows = written(rows.join(open_, "band").withColumn("other", F.col("root") != F.col("largest")))
+    open_ = written(counts.agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("largest")))
+    rows = written(spread_join(rows, open_.where("n > most"), "band", counts=open_.select("band", F.col("n").alias("_n"))).withColumn("other", F.col("root") != F.col("largest")))
     across, down = F.ceil((F.col("n") - F.col("most")) / block), F.ceil(F.col("n") / block)
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     asking = rows.where("other").withColumn("i", F.pmod(F.xxhash64("id", "band"), across)).withColumn("j", numbers(down)).withColumn("side", F.lit(ASKING))
@@ -269,18 +272,17 @@ def rest_pairs(docs: DataFrame, classes: DataFrame, shared: DataFrame, roots: Da
 def grouped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and group_id, the least id of what copies, SimHash links and shared shingles connect."""
     drawn = written(sketches(docs))
-    classes = written(drawn.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("minima").alias("minima")))
-    told = classes.where("id is not null")
+    classes = written(drawn.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("minima").alias("minima"), F.count("*").alias("_n")))
+    told = classes.where("id is not null").select("id", "minima")
     shared = met(told)
     near = leader_pairs(docs, told, shared, least)
-    named = drawn.join(classes.select("key", "id"), "key").select("doc_id", "id")
+    members = written(spread_join(drawn.select("doc_id", "key"), classes.select("key", "id"), "key", counts=classes).select("doc_id", "id").distinct())
     prints = deduplicated(docs).select(F.col("doc_id").cast("long").alias("_doc"), F.col("component_id").cast("long").alias("b"))
-    members = written(named.distinct())
     across = members.join(prints.distinct(), F.col("doc_id") == F.col("_doc")).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     first = written(near.unionByName(across))
     roots = written(components(first))
     rest = written(rest_pairs(docs, told, shared, roots, least))
     if not rest.isEmpty():
         roots = written(components(first.unionByName(rest)))
-    out = members.join(roots, members["id"] == roots["node"], "left")
+    out = spread_join(members, roots.withColumnRenamed("node", "id"), "id", how="left")
     return out.select("doc_id", F.coalesce("root", "id").alias("group_id"))
