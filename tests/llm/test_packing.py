@@ -1,7 +1,75 @@
+import random
+
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from lorekeep.llm import packing, tokens
 
+from .conftest import prose
+
+
+def test_word_by_word_encoding_is_the_library_s():
+    """On the driver's whole documents and on random code points."""
+    encode = tokens.encoder(tokens.default_tokenizer())
+    rnd = random.Random(5)
+    texts = [x for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist() if x]
+    ranges = [(32, 127), (32, 0x250), (0x250, 0x3000), (0x3000, 0xD7FF), (0x1F300, 0x1F700)]
+    for _ in range(400):
+        low, high = rnd.choice(ranges)
+        texts.append("".join(chr(rnd.choice([rnd.randrange(low, high), rnd.randrange(32, 127), 32, 0x301])) for _ in range(60)))
+    texts += ["İstanbul ΑΣ ὈΔΥΣΣΕΎΣ", "<|endoftext|> A<|B", "ÅÅ ﬁ K 'LL 'll don't", "a.b,, ,; x\u00a0y\u2028z"]
+    for text in texts:
+        want = encode.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode.encode(text), "<u4").tolist() == want
+
+
+def test_neighbours_by_brute_force(spark):
+    """The order of neighbours is that of BM25, computed rest by rest."""
+    rnd = random.Random(3)
+    name = tokens.default_tokenizer()
+    rows = [(i, prose(rnd, rnd.randint(5, 60), "abc" if i % 2 else "cde")) for i in range(40)]
+    table = packing.token_table(spark.createDataFrame(rows, "doc_id long, text string"), name)
+    idf, mean = packing.term_weights(table, tokens.encoder(name).vocabulary)
+    rests = [packing._array(r.ids, r.n) for r in table.where("n >= 0").orderBy("doc_id").collect()]
+    shard = packing.Shard(rests, idf, mean)
+    holds = [set(x.tolist()) for x in rests]
+    assert mean == pytest.approx(np.mean([len(x) for x in rests]))
+    for seed in (0, 7, 39):
+        scores = []
+        for x in rests:
+            score = 0.0
+            for term in holds[seed]:
+                tf, df = int((x == term).sum()), sum(term in h for h in holds)
+                score += np.log1p((40 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+            scores.append(score)
+        found = shard.neighbours(seed)
+        assert seed not in found and len(found) == 39
+        assert [scores[i] for i in found] == pytest.approx(sorted((scores[i] for i in found), reverse=True), rel=1e-5)
+
+
+def test_only_a_partition_s_last_ids_are_in_short_windows(spark):
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, rnd.randint(1, 400))) for i in range(300)] + [(None, None), (5, ""), (5, "a"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = packing.pack(docs, shard=16, with_ids=True).toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sizes = got.groupby("sequence_id").length.sum()
+    assert (sizes <= 4096).all() and (sizes < 4096).sum() <= 12
+    assert all(n & (n - 1) == 0 for n in sizes)
+    encode, key = tokens.encoder(tokens.default_tokenizer()), lambda x: (-1 if x is None else x)
+    want = sorted((key(d), tuple(np.frombuffer(encode.encode(t), "<u4").tolist() + [2])) for d, t in rows)
+    pieces = {}
+    for doc, start, n, ids in sorted(zip(got.doc_id.fillna(-1), got.start, got.doc_tokens, map(tuple, got.ids))):
+        pieces.setdefault(int(doc), []).append((start, n, ids))
+    for d in {key(d) for d, _ in rows} - {5}:
+        assert sum((p for _, _, p in pieces[d]), ()) == next(t for k, t in want if k == d)
+    assert sum(len(p) for _, _, p in pieces[5]) == sum(len(t) for k, t in want if k == 5)
+    for _, group in got.groupby("sequence_id"):
+        ends = sorted(zip(group.offset, group.length))
+        assert [a for a, _ in ends] == [0, *np.cumsum([n for _, n in ends])[:-1]]
+
 
 def test_terms_of_most_rests_are_indexed(spark):
     """On a table of one topic, where every term is in most rests, neighbours still go by what they share."""
