@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written as Parquet and read again.
 All but the last return the columns of documents; the last returns the pieces of packed sequences with their ids.
+
+Defined cases, for all stages: null text is empty text, which the rules reject; very long texts are judged and compared
+whole; further columns are carried along under any names; rows without an id or that share one are documents of their own,
+told apart by a key that a stage makes; among rows that tie in id and text any may be the one that is kept or taken again;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,38 +17,29 @@ from pyspark.sql import functions as F
 from lorekeep.llm import common, compress, mixing, packing, rules, similar
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with an id in `ids`, whatever their own columns are called; null ids meet null ids."""
-    named = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With _row_key, which each row has for its own and which is in order of ids, null last: the id itself if that tells
-    rows apart, else the row's place by its id, a hash of its text and its number. Written, as numbers of rows are not
-    the same each time."""
+    """row (all columns), doc_id, text and source, with a doc_id that each row has for its own and which is in order of the
+    ids, null last: the id itself if that tells all rows apart, else the row's place by its id, a hash of its text and its
+    number. Written then, as numbers of rows are not the same each time."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("_row_key", F.col("doc_id").cast("long"))
-    numbered = common.written(docs.withColumns({"_row_hash": F.xxhash64("text"), "_row_number": F.monotonically_increasing_id()}))
-    order = [F.col("doc_id").asc_nulls_last(), "_row_hash", "_row_number"]
-    placed = numbered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row_key", F.monotonically_increasing_id())
-    return common.written(placed.drop("_row_hash", "_row_number"))
-
-
-def _as_id(rows: DataFrame) -> DataFrame:
-    return rows.drop("doc_id").withColumnRenamed("_row_key", "doc_id")
+        return rows
+    numbered = common.written(rows.withColumns({"hash": F.xxhash64("text"), "number": F.monotonically_increasing_id()}))
+    order = [F.col("doc_id").asc_nulls_last(), "hash", "number"]
+    placed = numbered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc_id", F.monotonically_increasing_id())
+    return common.written(placed.drop("hash", "number"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out what a base rule or a risk-controlled cutoff rejects."""
-    judged = rules.judged(docs, common.table(spark, sf_dir, "labels"))
-    return _only(docs, judged.where("kept"))
+    """Leaves out what a base rule or a risk-controlled cutoff rejects. Each row is judged by its own text."""
+    return rules.judged(docs, common.table(spark, sf_dir, "labels"), docs.columns).where("kept").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out what scores less than compress.LEAST_SCORE; the classifier is learned from this stage's input."""
+    """Leaves out what scores less than compress.LEAST_SCORE; the classifier is learned from this stage's input, and each
+    row is judged by its own text."""
     model = compress.learn_quality(docs, common.table(spark, sf_dir, "labels"))
-    return _only(docs, compress.scored(docs, model).where(F.col("score") >= compress.LEAST_SCORE))
+    return compress.scored(docs, model, docs.columns).where(F.col("score") >= compress.LEAST_SCORE).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,17 +47,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     documents that share at least 0.8 of their five-word shingles, which fingerprints within 2 bits next to never tell.
     Rows without an id, or that share one, are documents of their own: of those, only copies are left out."""
     rows = _keyed(docs)
-    found = common.written(similar.grouped(_as_id(rows)))
-    kept = found.select(F.col("group_id").alias("_kept_key")).distinct()
-    return rows.join(kept, rows["_row_key"] == kept["_kept_key"], "left_semi").select(docs.columns)
+    found = common.written(similar.grouped(rows.select("doc_id", "text")))
+    kept = found.select(F.col("group_id").alias("kept")).distinct()
+    return rows.join(kept, rows["doc_id"] == kept["kept"], "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for: not at all, once or twice."""
     rows = _keyed(docs)
-    keyed = _as_id(rows.withColumn("_own_id", F.col("doc_id")))
-    taken = mixing.repeated(keyed, mixing.mix(keyed))
-    return taken.drop("doc_id").withColumnRenamed("_own_id", "doc_id").select(docs.columns)
+    return mixing.repeated(rows.select("doc_id", "row"), mixing.mix(rows)).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
