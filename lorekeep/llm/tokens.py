@@ -64,18 +64,18 @@ class Encoder(dict):
     def _ids(self, text: str) -> bytes:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         """The ids of a word of Latin letters: one piece to the tokenizer, lower-cased and no other in NFC, so that the
         library's model can have it without the steps before."""
-        piece = word.lower().encode().decode("latin-1").translate(self.signs)
         return array.array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        stem, text = word.rstrip(MARKS), word.decode()
-        if stem and len(stem) < len(word) and stem.decode().lower().isalpha():
+        if word.isalpha():  # letters of ASCII only, whose signs in the vocabulary are themselves
+            ids = self._piece(word.lower().decode())
+        elif (stem := word.rstrip(MARKS)) and len(stem) < len(word) and (stem.isalpha() or stem.decode().lower().isalpha()):
             ids = self[stem] + self[word[len(stem) :]]
-        elif text.isalpha() and max(text) <= LAST_LATIN and "İ" not in text:
-            ids = self._letters(text)
+        elif (text := word.decode()).isalpha() and max(text) <= LAST_LATIN and "İ" not in text:
+            ids = self._piece(text.lower().encode().decode("latin-1").translate(self.signs))
         else:
             ids = self._ids(text)
         if len(self) < MOST_WORDS and len(word) <= LONGEST:
