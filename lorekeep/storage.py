@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode with none named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """With the scheme of the store that Spark takes it for, so that others who read the store find the same folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lorekeep-{uuid.uuid4().hex}"
 
