@@ -6,12 +6,15 @@ numpy arrays. Partitions are ranges of doc_id, so the files are in order too. A
 runs and only the names that its committed output lists are read, so lost executors and repeated tasks do no harm.
 
 Defined cases: null text is empty text, so its only id is the end; null doc_ids come last; repeated rows are written each;
-an empty table gives no document; only the id and text columns are read.
+rows that tie in their id go by their text; a very long text is a file's last document, whatever its length; an empty table
+gives no document; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import array
 import io
+import itertools
 import struct
 import uuid
 import zlib
@@ -30,10 +33,10 @@ MAGIC = b"LKIDS001"
 FOOTER = struct.Struct("<IIQQQ8s")  # bits, ids in a block, documents, ids, where the footer's arrays begin, magic
 BLOCK = 4096
 END = 2
-#: A new file is begun after so many ids.
-FILE_IDS = 1 << 25
-#: Ids that a reader unpacks at once, but for a longer document.
-READ_IDS = 1 << 21
+#: A new file is begun after so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 25, 1 << 20
+#: Ids that a reader unpacks at once, but for a longer document; and rows that it returns at once.
+READ_IDS, READ_ROWS = 1 << 21, 1 << 14
 
 
 def bits_for(vocabulary: int) -> int:
@@ -62,9 +65,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 class Writer:
     def __init__(self, out: io.RawIOBase, bits: int):
         self.out, self.bits, self.rest, self.ids, self.at = out, bits, np.zeros(0, "<u4"), 0, 0
-        self.docs: list[int | None] = []
-        self.starts: list[int] = []
-        self.blocks: list[int] = []
+        self.docs, self.named, self.starts, self.blocks = array.array("q"), bytearray(), array.array("Q"), array.array("Q")
 
     def _put(self, ids: np.ndarray) -> None:
         for i in range(0, len(ids), BLOCK):
@@ -72,7 +73,8 @@ class Writer:
             self.at += self.out.write(pack(ids[i : i + BLOCK], self.bits))
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc)
+        self.docs.append(doc or 0)
+        self.named.append(doc is not None)
         self.starts.append(self.ids)
         self.ids += len(ids)
         self.rest = np.concatenate([self.rest, ids])
@@ -82,10 +84,10 @@ class Writer:
 
     def close(self) -> None:
         self._put(self.rest)
-        self.out.write(np.array([x or 0 for x in self.docs], "<i8").tobytes())
-        self.out.write(np.array([x is not None for x in self.docs], np.uint8).tobytes())
-        self.out.write(np.array([*self.starts, self.ids], "<u8").tobytes())
-        self.out.write(np.array([*self.blocks, self.at], "<u8").tobytes())
+        self.starts.append(self.ids)
+        self.blocks.append(self.at)
+        for numbers, kind in ((self.docs, "<i8"), (self.named, "u1"), (self.starts, "<u8"), (self.blocks, "<u8")):
+            self.out.write(np.asarray(numbers).astype(kind).tobytes())
         self.out.write(FOOTER.pack(self.bits, BLOCK, len(self.docs), self.ids, self.at, MAGIC))
         self.out.close()
 
@@ -159,7 +161,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end: int = END) -
                     name = f"{part:06d}-{uuid.uuid4().hex}.ids"
                     out = Writer(store.open_output_stream(f"{place}/{name}"), bits)
                 out.add(doc, np.frombuffer(encode.encode(text.as_py()) + last, "<u4"))
-                if out.ids >= FILE_IDS:
+                if out.ids >= FILE_IDS or len(out.docs) >= FILE_DOCS:
                     done()
                     out = None
         if out is not None:
@@ -170,25 +172,27 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end: int = END) -
         )
 
     by = F.col("doc_id").asc_nulls_last()
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(by).sortWithinPartitions(by)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(by).sortWithinPartitions(by, "text")
     return written(rows.mapInArrow(run, "part int, file int, path string, n_docs long, n_tokens long"))
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files."""
-    # one row for each file, some tens of MB: few rows for one task
-    before = Window.partitionBy(F.lit(0)).orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # one row for each partition of the writer, then for each of its files
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
+    earlier = lambda within, by: Window.partitionBy(within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("_ids").over(earlier(F.lit(0), "part")), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("n_tokens").over(earlier("part", "file")), F.lit(0))
+    files = files.withColumn("_within", within).join(parts, F.col("part") == F.col("_part")).withColumn("start", F.col("_before") + F.col("_within"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, place = _store(path)
                 with store.open_input_file(place) as file:
-                    rows = [(doc, start + at, len(ids), zlib.crc32(ids)) for doc, at, ids in Reader(file).documents()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                    rows = ((doc, start + at, len(ids), zlib.crc32(ids)) for doc, at, ids in Reader(file).documents())
+                    while some := list(itertools.islice(rows, READ_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = files.select("path", "start").repartition(F.col("path"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
