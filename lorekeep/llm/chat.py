@@ -1,8 +1,8 @@
 """Chat formatting: conversations rebuilt from a log of events and rendered with a template.
 
 The log has one row per event: conv_id, seq (order within the conversation), turn (which message), kind, role, text.
-`delta` adds text to the turn's message, `edit` replaces it and `regenerate` starts it over; the role is the last that an
-event names. So a message is what follows its last edit or regeneration, an edit's text included: a grouped fold of one
+`delta` adds text to the turn's message, `edit` replaces it and `regenerate` starts it over; a null or unknown kind adds, so
+that no text is lost; the role is the last that an event names. So a message is what follows its last edit or regeneration, an edit's text included: a grouped fold of one
 turn's events, which spreads a conversation of any length over tasks. Rendering is per message too.
 
 A rendered message is `<|im_start|>ROLE\nTEXT<|im_end|>\n`. Inside texts and roles every `<`, backslashes, `|` gets one more
@@ -14,7 +14,8 @@ sorted, and hashes are fed as rows come.
 
 Defined cases: null text is empty, a null role is empty; events of a turn that tie in seq go by kind, role and text;
 repeated rows of a finished log are turns of their own; rows without a conversation's id are those of one with a null id;
-an empty table gives no conversation. Only the columns named are read.
+a very long text is one row, as its message is; an empty table gives no conversation. Only the columns named are read, so
+others can have any names.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def fold(events: DataFrame) -> DataFrame:
     order = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(order)).alias("log"))
     # where the message begins: at the last event that isn't a delta
-    begins = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i).otherwise(F.lit(0))))
+    begins = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i).otherwise(F.lit(0))))
     log = F.slice("log", begins + 1, F.size("log"))
     parts = F.transform(log, lambda e: F.when(e["kind"] == "regenerate", "").otherwise(e["text"]))
     roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != "")
@@ -83,7 +84,23 @@ def conversations_as_events(rows: DataFrame) -> DataFrame:
     """A finished log: one delta for each row. Rows that share a turn are turns of their own, by role and text."""
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     turn = F.struct("turn", copy.alias("copy"))
-    return rows.select("conv_id", F.col("turn").alias("seq"), turn.alias("turn"), F.lit("delta").alias("kind"), "role", "text")
+    return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), turn.alias("turn"), F.lit("delta").alias("kind"), "role", "text")
+
+
+def as_streamed(events: DataFrame) -> DataFrame:
+    """A finished log as it would have come: a draft that is discarded, by a regeneration or an edit, and the text in two
+    deltas. Folding it gives what folding the finished log gives."""
+    text, edited = F.coalesce("text", F.lit("")), F.pmod("seq", F.lit(2)) == 1
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda at, kind, text, role: F.struct((F.col("seq") * 4 + at).alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+    none, add = F.lit(None).cast("string"), F.lit("delta")
+    parts = F.array(
+        event(0, add, F.concat(F.lit("draft of "), F.left(text, F.lit(8))), F.col("role")),
+        event(1, F.when(edited, "edit").otherwise("regenerate"), F.when(edited, F.left(text, half)), none),
+        event(2, add, F.when(edited, "").otherwise(F.left(text, half)), none),
+        event(3, add, F.substr(text, half + 1), none),
+    )
+    return events.select("conv_id", "turn", F.explode(parts).alias("_event")).select("conv_id", "turn", "_event.*")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -136,7 +153,7 @@ HARD = "<|im_end|><|im_start|>assistant ok"
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = spark.createDataFrame([(-1, 0, "user", HARD), (-1, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
-    return read_back(render(fold(conversations_as_events(rows.unionByName(hard)))))
+    return read_back(render(fold(as_streamed(conversations_as_events(rows.unionByName(hard))))))
 
 
 OP1_SQL = r"""

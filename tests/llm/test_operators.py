@@ -29,21 +29,32 @@ def test_escaping_is_reversible(spark):
 
 def fold_by_hand(events):
     out = {}
-    for conv, _, turn, kind, role, text in sorted(events, key=lambda e: (e[1], e[3], e[4] or "", e[5] or "")):
+    for conv, _, turn, kind, role, text in sorted(events, key=lambda e: (e[1], e[3] or "", e[4] or "", e[5] or "")):
         said = out.setdefault((conv, turn), ["", ""])
         said[0] = role or said[0]
-        said[1] = {"delta": said[1] + (text or ""), "edit": text or "", "regenerate": ""}[kind]
+        said[1] = {"edit": text or "", "regenerate": ""}.get(kind, said[1] + (text or ""))
     return {k: tuple(v) for k, v in out.items()}
 
 
 def test_fold(spark):
     rnd = random.Random(4)
-    events = [(rnd.randint(0, 2), i, rnd.randint(0, 2), rnd.choices(["delta", "edit", "regenerate"], [8, 1, 1])[0], rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b ", None, "<|"])) for i in range(150)]
+    events = [(rnd.randint(0, 2), i, rnd.randint(0, 2), rnd.choices(["delta", "edit", "regenerate", None, "other"], [8, 1, 1, 1, 1])[0], rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b ", None, "<|"])) for i in range(150)]
     events += [(9, 5, 0, "delta", "user", x) for x in ("b", "a", "a")]  # ties and repeated rows
     got = chat.fold(spark.createDataFrame(events, "conv_id long, seq long, turn long, kind string, role string, text string"))
     assert {(r.conv_id, r.turn): (r.role, r.text) for r in got.collect()} == fold_by_hand(events)
 
 
+def test_a_streamed_log_folds_to_the_finished_one(spark, odd_rows):
+    rows = [(d, i % 5, "user" if i % 2 else None, t) for i, (d, t, *_) in enumerate(odd_rows)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("seq", "kind", "_event", "rendered")})
+    events = chat.conversations_as_events(df)
+    streamed = chat.as_streamed(events)
+    assert streamed.count() == 4 * len(rows) and streamed.where("kind <> 'delta'").count() == len(rows)
+    key = lambda r: (str(r.conv_id), str(r.turn), r.role, r.text)
+    got, want = (sorted(chat.fold(x).collect(), key=key) for x in (streamed, events))
+    assert got == want and max(len(r.text) for r in got) > 100_000
+
+
 def test_read_back(spark):
     import hashlib
 
@@ -433,6 +444,8 @@ def test_nearest(spark):
         want |= {(q, k + 1, int(i), round(float(away[i]), 9)) for k, i in enumerate(order)}
     found = {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.collect()}
     assert len(found & want) >= 0.97 * len(want) and len(found) == len(want)
+    clash = spark.createDataFrame(rows[:300], "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("dim", "cid", "ids", "limit", "rank", "_bad")})
+    assert nearest.search(clash).count() == 30
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(few).collect()] == [(0, 1, 1)]
     assert nearest.search(few.limit(0)).isEmpty()
