@@ -59,22 +59,31 @@ def place() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), "text")
 
 
+def slim_rows(rows: DataFrame) -> DataFrame:
+    """The distinct (_class, doc_id, _place) of labelled rows, without their texts, and _rows, how many are alike; written."""
+    return written(rows.groupBy("_class", "doc_id", "_place").agg(F.count("*").alias("_rows")))
+
+
 def class_counts(slim: DataFrame, most: int) -> DataFrame:
-    """_class and _n, its rows, of the most frequent classes."""
-    return written(slim.groupBy("_class").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_class").limit(most))
+    """_class, _n (its rows) and _distinct (those that aren't alike) of the most frequent classes."""
+    counts = slim.groupBy("_class").agg(F.sum("_rows").alias("_n"), F.count("*").alias("_distinct"))
+    return written(counts.orderBy(F.desc("_n"), "_class").limit(most))
 
 
 def sampled(docs: DataFrame, slim: DataFrame, counts: DataFrame, wanted: int) -> DataFrame:
     """_class, doc_id, text, _rank and _n of the first `wanted` rows of each class in `counts` in the order of their places.
 
-    slim(_class, doc_id, _place) has the labelled rows without their texts, which alone are ranked; so what meets the texts
-    is bounded by `wanted` for each class, and is broadcast."""
-    order = Window.partitionBy("_class").orderBy("_place", "doc_id")
-    first = slim.join(F.broadcast(counts), "_class").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted)
-    first = written(first.select("_class", "doc_id", "_place", "_n").distinct())
+    Only slim rows are ranked, and of those what lies beyond where the first `wanted` end is left out before, as places are
+    spread evenly; so what meets the texts is bounded by `wanted` for each class, and is broadcast."""
+    at = F.pmod("_place", F.lit(1 << 30))
+    far = (wanted + 8 * math.sqrt(wanted) + 16) / F.col("_distinct") * float(1 << 30)
+    order = Window.partitionBy("_class").orderBy("_at", "_place", "doc_id")
+    first = slim.join(F.broadcast(counts), "_class").withColumn("_at", at).where(F.col("_at") < far)
+    first = written(first.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted).select("_class", "doc_id", "_place", "_n"))
     rows = docs.select("doc_id", "text", place().alias("_place")).join(F.broadcast(first), ["doc_id", "_place"])
-    order = Window.partitionBy("_class").orderBy("_place", "doc_id", "text")
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted).select("_class", "doc_id", "text", "_rank", "_n")
+    order = Window.partitionBy("_class").orderBy("_at", "_place", "doc_id", "text")
+    rows = rows.withColumn("_at", at).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted)
+    return rows.select("_class", "doc_id", "text", "_rank", "_n")
 
 
 def snippets(rows: DataFrame, blocks: int) -> dict[object, list[str]]:
@@ -125,7 +134,7 @@ def kept_compressor(content: bytes) -> Callable[[bytes], bytes]:
 def learn_languages(docs: DataFrame) -> list[tuple[str, bytes]]:
     """Each language and its dictionary, the most frequent one first."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & in_training())
-    slim = written(known.select(F.col("lang").alias("_class"), "doc_id", place().alias("_place")))
+    slim = slim_rows(known.select(F.col("lang").alias("_class"), "doc_id", place().alias("_place")))
     counts = class_counts(slim, LANGUAGES)
     order = [r["_class"] for r in sorted(counts.collect(), key=lambda r: (-r["_n"], r["_class"]))]
     blocks = min(BLOCKS, ALL_BLOCKS // max(len(order), 1))
@@ -228,7 +237,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
     )
     texts = docs.where(F.col("text").isNotNull())
     slim = texts.select("doc_id", place().alias("_place")).join(known, F.col("doc_id") == F.col("_labelled"))
-    slim = written(slim.select("_class", "doc_id", "_place"))
+    slim = slim_rows(slim)
     counts = class_counts(slim, 2)
     n = {int(r["_class"]): r["_n"] for r in counts.collect()}
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)

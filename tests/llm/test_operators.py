@@ -311,7 +311,7 @@ def test_samples_are_limited_by_rows(spark):
     """However often a row or an id is repeated; all places of a long text can be chosen."""
     rows = spark.range(50_000).select(F.lit("a").alias("_class"), F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     def drawn(rows):
-        slim = rows.select("_class", "doc_id", compress.place().alias("_place"))
+        slim = compress.slim_rows(rows.select("_class", "doc_id", compress.place().alias("_place")))
         return compress.sampled(rows, slim, compress.class_counts(slim, 10), 100)
 
     assert drawn(rows).count() == 100
