@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WEEKDAY = r"(?i)\(\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s*\)"
+_DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+_IN_BRACKETS = r"\(\s*(\p{L}+)\s*\)"
 _MONTH = r"(?:jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|september|oct|october|nov|november|dec|december)"
 _LONG = rf"{_MONTH},? \d{{4}}$"
 
@@ -30,7 +31,10 @@ _ISO = r"^\d{4}-\d{2}-\d{2}[tT ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[zZ]|[+-]\d{2}:?\d
 
 def parse_timestamp(text: Column) -> Column:
     """A timestamp in the session's zone, UTC here; null if the text is no date of an accepted shape."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, _WEEKDAY, " "), r"\s+", " "))
+    # a word in brackets is dropped if it is the name of a day, or begins as one does
+    word = F.lower(F.regexp_extract(text, _IN_BRACKETS, 1))
+    named = F.substring(word, 1, 3).isin([d[:3] for d in _DAYS])
+    bare = F.trim(F.regexp_replace(F.when(named, F.regexp_replace(text, _IN_BRACKETS, " ")).otherwise(text), r"\s+", " "))
     # month names are read with a capital first letter, and either of am and AM
     said = F.regexp_replace(bare, r"(?<=[A-Za-z]),", "")
     titled = F.regexp_replace(F.initcap(said), r"\bOn\b", "on")
@@ -46,7 +50,6 @@ def parse_timestamp(text: Column) -> Column:
     return F.coalesce(*tries)
 
 
-_DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 _DAY = r"(mon(?:day)?|tues?(?:day)?|wed(?:nesday)?|thu(?:rs(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)"
 _NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1, "few": 3, "a few": 3, "couple": 2, "a couple of": 2}
 _COUNT = r"(\d+|a couple of|a few|an?|" + "|".join(list(_NUMBERS)[1:13]) + ")"

@@ -11,7 +11,7 @@ from lorekeep.operators import ledger as L
 from lorekeep.functions import keys
 from lorekeep.plans.enrichment import enriched
 
-from .views import TURNS_SQL, table, turns
+from .views import TURNS_SQL, table, turns, words_sql
 
 PREFIX, MODEL = "search_document: ", "mock"
 
@@ -80,6 +80,8 @@ a AS (SELECT turn_id, pos FROM turns UNION ALL SELECT turn_id, pos + 1000 FROM t
 m AS (SELECT turn_id, pos, row_number() OVER (PARTITION BY turn_id ORDER BY pos) = 1 AND turn_id NOT IN (SELECT turn_id FROM turns WHERE pos = 0) AS accepted FROM a)"""
 _KEYS = "k AS (SELECT doc_id, lang, coalesce(text, '') AS t, sha256('search_document: ' || coalesce(text, '')) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE lang = 'en')"
 SQL = {
+    "enriched_turns": f"""WITH {TURNS_SQL} SELECT turn_id AS id, 'done' AS status, '2023-05-02 10:15' AS ts,
+  CAST(len({words_sql("'[2023-05-02] ' || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(text, '')")}) AS INT) AS n, 16 AS bytes FROM turns""",
     "matched_twins": """WITH k AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS key FROM documents),
 l AS (SELECT key, max(doc_id) AS twin FROM k WHERE source < 'src2' GROUP BY key) SELECT doc_id, twin FROM k JOIN l USING (key)""",
     "fetched_texts": "SELECT doc_id AS id, quality, source FROM labels JOIN documents USING (doc_id)",

@@ -82,7 +82,8 @@ def hybrid_candidates(spark, d):
 def _search(mode):
     def query(spark, d):
         docs, asked = _with_vectors(spark, d)
-        return plan.search(docs, asked, Search(mode=mode, top_k=N, max_per_session=4))
+        found = plan.search(docs, asked, Search(mode=mode, top_k=N, max_per_session=4))
+        return found.select("query_id", F.col("position").cast("long").alias("position"), "id", F.round("score", 6).alias("score"))
 
     return query
 
@@ -210,8 +211,36 @@ m AS (SELECT res.qid, grp, scored,
   CASE WHEN scored THEN coalesce((SELECT sum(1 / log2(rank + 1)) FROM hit WHERE hit.qid = res.qid AND rank <= 10), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, 1 + least(10, wanted))]) ELSE 0 END AS ndcg_10,
   CASE WHEN scored THEN coalesce((SELECT 1.0::DOUBLE / min(rank) FROM hit WHERE hit.qid = res.qid), 0) ELSE 0 END AS mrr FROM res)"""
 _MEANS = ", ".join(f"round(coalesce(avg({c}) FILTER (WHERE scored), 0), 6) AS {c}" for c in ("recall_5", "recall_10", "ndcg_5", "ndcg_10", "mrr"))
+_LISTS = f"""{_bm25_sql("'all'", _ASKED)}, {_ranked_sql("l1", "scored", 100)},
+s2 AS (SELECT item_id AS qid, doc_id AS id, coalesce(round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), 0) AS score
+  FROM benchmark JOIN embeddings a ON a.vec_id = item_id, documents LEFT JOIN embeddings b ON b.vec_id = doc_id), {_ranked_sql("l2", "s2", 100)},
+l12 AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT qid, id, rank FROM l1 UNION ALL SELECT qid, id, rank FROM l2) GROUP BY ALL)"""
+
+
+def _search_sql(rows: str) -> str:
+    """The candidates in `rows`, then the greedy choice, at most four of a source; documents without a vector are like none."""
+    return f"""WITH RECURSIVE {_LISTS},
+c AS MATERIALIZED (SELECT qid, x.id, score, source, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN score / max(score) OVER (PARTITION BY qid) ELSE score END AS rel FROM {rows} x JOIN documents d ON d.doc_id = x.id),
+v AS (SELECT DISTINCT c.id, e.embedding::DOUBLE[] AS e FROM c JOIN embeddings e ON e.vec_id = c.id),
+sim AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_dot_product(a.e, b.e) AS s FROM v a, v b),
+r AS (
+  SELECT DISTINCT qid, 0 AS step, []::BIGINT[] AS sel, []::VARCHAR[] AS sess FROM c
+  UNION ALL
+  SELECT qid, step + 1, list_append(sel, id), list_append(sess, source) FROM (
+    SELECT r.qid, r.step, r.sel, r.sess, c.id, c.source, row_number() OVER (PARTITION BY r.qid ORDER BY 0.7::DOUBLE * c.rel - (1 - 0.7::DOUBLE) *
+      CASE WHEN r.step = 0 THEN 0 WHEN r.step > 0 THEN coalesce((SELECT max(coalesce(s, 0)) FROM (SELECT unnest(r.sel) AS j) t LEFT JOIN sim ON sim.i = c.id AND sim.j = t.j), 0) END DESC, c.rel DESC, c.id) AS n
+    FROM r JOIN c ON c.qid = r.qid
+    WHERE r.step < {N} AND NOT list_contains(r.sel, c.id) AND len(list_filter(r.sess, lambda x: x = c.source)) < 4
+  ) WHERE n = 1
+)
+SELECT r.qid AS query_id, CAST(r.step AS BIGINT) AS position, c.id, round(c.score, 6) AS score FROM r JOIN c ON c.qid = r.qid AND c.id = r.sel[r.step] WHERE r.step > 0"""
+
+
 _NEAR = "abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 00:00:00')) <= "
 SQL = {
+    "search_bm25": _search_sql("l1"),
+    "search_dense": _search_sql("l2"),
+    "search_hybrid": _search_sql("l12"),
     "bm25_idf": f"WITH {_bm25_sql(chr(39) + 'all' + chr(39), _ASKED)} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df JOIN st USING (conv)",
     "bm25_topn": f"WITH {_bm25_sql(chr(39) + 'all' + chr(39), _ASKED)} {_TOP.format(rows='scored', n=10)}",
     "bm25_topn_scoped": f"WITH {_bm25_sql('source', _SCOPED)} {_TOP.format(rows='scored', n=10)}",

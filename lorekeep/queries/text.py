@@ -130,6 +130,8 @@ _JSON = """
   || ',"date_time":' || to_json(date_time) || '}'
 """
 SQL = {
+    "truncated": """SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 1200 THEN octet_length(encode(text))
+  ELSE list_max([octet_length(encode(left(text, k))) FOR k IN range(290, 1201) IF octet_length(encode(left(text, k))) <= 1200]) END AS bytes FROM documents""",
     "tokenize_docs": f"{_LEX} SELECT doc_id, CAST(len(lex) AS BIGINT) AS n, md5(array_to_string(lex, ' ')) AS lexemes_md5 FROM docs",
     "normalize_text": r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g'))) AS normalized_md5 FROM documents",
     "term_frequency": f"{_LEX} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(lex) AS term FROM docs) GROUP BY ALL",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOPWORDS, lexemes
-from lorekeep.storage import written
+from lorekeep.storage import spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str, conversation: Column | None = None, stemmed: bool = False) -> DataFrame:
     """Documents, of one conversation unless a column is given; tokenized once, as an index is."""
     conversation = F.lit("all") if conversation is None else conversation
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return written(docs.select(F.col("doc_id").alias("id"), conversation.alias("conversation_id"), F.col("source").alias("session_id"), lexemes(F.col("text"), stemmed).alias("lexemes")))
 
 

@@ -40,3 +40,9 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt anew if it has fewer splits than there are cores, as a file of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
