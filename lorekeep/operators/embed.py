@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.keys import cache_key
+from lorekeep.functions.keys import cache_key, truncate_utf8
 
 PREFIXES = ("search_document: ", "search_query: ", "clustering: ", "classification: ")
 
@@ -48,13 +49,14 @@ class MockEmbedder:
         return out
 
 
-def attempt(embedder: Embedder, texts: list[str], dims: int, tries: int = 3) -> list[tuple[np.ndarray | None, str | None, bool]]:
+def attempt(embedder: Embedder, texts: list[str], dims: int, tries: int = 3, pause: float = 0.0) -> list[tuple[np.ndarray | None, str | None, bool]]:
     """(vector, error, permanent) of each text. All go together first; if that fails, each goes alone, so that one bad text
-    fails no other. Transient errors and wrong lengths are tried again."""
+    fails no other. Transient errors and wrong lengths are tried again, each time after `pause` seconds more."""
 
     def one(part: list[str]) -> list[tuple[np.ndarray | None, str | None, bool]]:
         error, permanent = "", False
-        for _ in range(tries):
+        for again in range(tries):
+            time.sleep(pause * again)
             try:
                 found = [np.asarray(v, np.float32) for v in embedder(part)]
             except PermanentError as e:
@@ -72,10 +74,11 @@ def attempt(embedder: Embedder, texts: list[str], dims: int, tries: int = 3) ->
     return one(texts) if texts else []
 
 
-def embed(texts: DataFrame, cache: DataFrame, prefix: str, model: str, embedder: Callable[[], Embedder], dims: int, batch: int = 32) -> DataFrame:
+def embed(texts: DataFrame, cache: DataFrame, prefix: str, model: str, embedder: Callable[[], Embedder], dims: int, batch: int = 32, most_bytes: int = 1200, pause: float = 0.0) -> DataFrame:
     """texts(id, text) to id, content_hash, embedding, error_message, permanent, cached.
 
-    The key is of the text with its prefix; equal texts are embedded once and joined back. A text that has a prefix
+    The key is of the whole text with its prefix; equal texts are embedded once and joined back. The service gets a text's
+    first `most_bytes` bytes, cut between characters (0: all), as such services read no more. A text that has a prefix
     already is a permanent error."""
     doubled = F.lit(False)
     for p in PREFIXES:
@@ -83,13 +86,15 @@ def embed(texts: DataFrame, cache: DataFrame, prefix: str, model: str, embedder:
     rows = texts.select("id", "text", doubled.alias("_doubled"), cache_key(F.lit(prefix), F.col("text")).alias("content_hash"))
     known = cache.where((F.col("model") == model) & (F.col("task_prefix") == prefix)).select("content_hash", F.col("vector").alias("_vector"))
     missing = rows.where("not _doubled").join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.first("text").alias("text"))
+    if most_bytes > 0:
+        missing = missing.withColumn("text", truncate_utf8(F.col("text"), most_bytes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = embedder()
         for b in batches:
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
-                got = attempt(service, [prefix + t for t in part["text"]], dims)
+                got = attempt(service, [prefix + t for t in part["text"]], dims, pause=pause)
                 yield pd.DataFrame(
                     {
                         "content_hash": part["content_hash"].tolist(),

@@ -41,7 +41,9 @@ def mmr(candidates: DataFrame, k: int = 10, trade_off: float = 0.7, cap: int = 0
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["relevance", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         dims = max((len(v) for v in rows["embedding"] if v is not None), default=1)
-        vectors = np.array([v if v is not None and len(v) == dims else np.zeros(dims) for v in rows["embedding"]], np.float64)
+        if any(v is not None and len(v) != dims for v in rows["embedding"]):
+            raise ValueError("the vectors of a query's candidates have several lengths")
+        vectors = np.array([v if v is not None else np.zeros(dims) for v in rows["embedding"]], np.float64)
         taken = select(rows["relevance"].to_numpy(), vectors @ vectors.T, rows["session_id"].tolist(), k, trade_off, cap)
         out = rows.loc[taken, ["query_id", "id", "score", "relevance"]].copy()
         out.insert(2, "position", np.arange(1, len(taken) + 1, dtype="int32"))

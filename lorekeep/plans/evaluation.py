@@ -39,7 +39,7 @@ def corpus(turns: DataFrame, granularity: str, embedder: Callable[[], Embedder],
 
 
 def evaluate(data: Dataset, tuning: Tuning, embedder: Callable[[], Embedder], config: Enrichment = Enrichment()) -> DataFrame:
-    docs = written(corpus(data.turns, tuning.granularity.value, embedder, config))
+    docs = written(retrieval.validated(corpus(data.turns, tuning.granularity.value, embedder, config), config.dims))
     asked = data.questions.withColumn("text", F.col("question"))
     cache = asked.sparkSession.createDataFrame([], schemas.CACHE)
     vectors = embed(asked.select(F.col("query_id").alias("id"), "text"), cache, config.query_prefix, config.model, embedder, config.dims)

@@ -65,6 +65,6 @@ def retrieved(selected: DataFrame) -> DataFrame:
 
 
 def report_of(selected: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """gold(query_id, grp, gold) and what was selected to the report of metrics.evaluate."""
+    """gold(query_id, grp, gold) and what was selected to the report of metrics.evaluate, all first and then by group."""
     rows = gold.join(retrieved(selected), "query_id", "left")
-    return evaluate(rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>"))), cutoffs)
+    return evaluate(rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>"))), cutoffs).orderBy(F.desc("overall"), "grp")

@@ -48,10 +48,10 @@ def cache_rows_by_prefix(spark, d):
 
 
 def embed_outcomes(spark, d):
-    """Documents embedded by a service that refuses some texts, with the cache before it."""
+    """Documents embedded whole by a service that refuses some texts, with the cache before it."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     service = partial(E.MockEmbedder, 4, "License", True)
-    rows = E.embed(texts, _cache(spark, d), PREFIX, MODEL, service, 4)
+    rows = E.embed(texts, _cache(spark, d), PREFIX, MODEL, service, 4, most_bytes=0)
     return rows.select("id", "cached", F.col("embedding").isNotNull().alias("embedded"), "permanent", "error_message")
 
 

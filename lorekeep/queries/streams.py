@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from lorekeep.config import Enrichment
+from lorekeep.functions import keys
+from lorekeep.operators import ledger as L
+from lorekeep.operators.embed import MockEmbedder
 from lorekeep.storage import new_folder
-from lorekeep.streaming.ingest import ingested, throughput
+from lorekeep.streaming.ingest import append, ingested, stored, texts_of, throughput, LEDGER
+from lorekeep.streaming.sweep import Sweeper
 
-from .views import TURNS_SQL
+from .views import TURNS_SQL, turns, words_sql
 
 
 def _stream(spark, d, name):
@@ -28,6 +35,22 @@ def stream_ingest_dedup(spark, d):
     return ingested(uploads).select("turn_id", "session_id", "pos")
 
 
+def upload_fetch_roundtrip(spark, d):
+    """All turns uploaded, the same batch a second time, and those of even conversations in a later one; then the texts are
+    read back from where they are stored, enriched in one sweep, fetched at the version, and met with the local turns."""
+    folder, rows = new_folder(spark), turns(spark, d)
+    again = rows.where(F.col("conversation_id").cast("bigint") % 2 == 0)
+    for number, batch in ((0, rows), (0, rows), (1, again)):
+        append(batch, folder, "upload", number)
+    memories = stored(spark, f"{folder}/memories", LEDGER)
+    config = Enrichment(version=3, dims=4, batches=0)
+    sweeper = Sweeper(spark, folder, memories, texts_of(spark, folder, memories), partial(MockEmbedder, config.dims), config)
+    sweeper.wave(F.current_timestamp())
+    fetched = L.fetch_at_version(memories, sweeper.events(), config.version).drop("turn_id")
+    local = rows.select(keys.content_hash(keys.envelope(**{c: F.col(c) for c in keys.ENVELOPE})).alias("content_hash"), "turn_id", "pos")
+    return L.with_twins(fetched, local).select("turn_id", "conversation_id", F.size("lexemes").alias("n"), F.octet_length("embedding").alias("bytes"), F.date_format("ts", "yyyy-MM-dd").alias("said"))
+
+
 def stream_throughput(spark, d):
     """Events per hour and kind through a stream with a watermark; the rows that the watermark hasn't closed come from the
     last state, as the whole result is written in each batch."""
@@ -41,8 +64,10 @@ def stream_throughput(spark, d):
     return spark.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_dedup, stream_throughput)}
+QUERIES = {f.__name__: f for f in (stream_ingest_dedup, stream_throughput, upload_fetch_roundtrip)}
 SQL = {
     "stream_ingest_dedup": f"WITH {TURNS_SQL} SELECT turn_id, session_id, CAST(pos * 2 AS INT) AS pos FROM turns",
+    "upload_fetch_roundtrip": f"""WITH {TURNS_SQL} SELECT turn_id, conversation_id, said[1:10] AS said, 16 AS bytes,
+  CAST(len({words_sql("'[2023-05-02] ' || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(text, '')")}) AS INT) AS n FROM (SELECT *, date_time AS said FROM turns)""",
     "stream_throughput": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep import schemas
 from lorekeep.functions import keys
-from lorekeep.operators.ledger import new_memories
-from lorekeep.storage import new_folder
+from lorekeep.operators.ledger import new_memories, strict_lookup
+from lorekeep.storage import new_folder, written
 
-LEDGER = "conversation_id string, session_id string, turn_id string, s3_key string, byte_size long, pos int, batch long"
+#: Memories are in so many folders by their conversation, and a batch reads those of its own conversations.
+BUCKETS = 64
+LEDGER = f"{schemas.MEMORIES}, pos int, bucket int"
+BLOBS = "s3_key string, body string"
+BATCHES = "source string, batch long, ordinal long"
+#: A batch's ids begin at its ordinal times 2 to this; they rise with the order of rows in 2,048 ranges at most.
+ID_BITS, MOST_RANGES = 44, 2048
 
 
 def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -19,23 +26,50 @@ def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
 
 
+def append(batch: DataFrame, ledger: str, source: str, number: int, bucket: str = "memories") -> None:
+    """Appends what is new in batch `number` of a source: texts under their hashes first, then the rows that name them.
+
+    The batch's place in the ledger is written before anything else, so that a batch that runs again takes the same ids; if
+    rows with these are there, it was appended before, and rows without a turn_id are not repeated either."""
+    spark = batch.sparkSession
+    body = keys.envelope(**{c: F.col(c) for c in keys.ENVELOPE})
+    rows = batch.withColumn("body", body).withColumn("content_hash", keys.content_hash(F.col("body")))
+    place = F.pmod(F.xxhash64("conversation_id"), F.lit(BUCKETS)).cast("int")
+    rows = written(rows.withColumns({"s3_key": keys.blob_key(F.col("content_hash")), "bucket": place}))
+    batches = stored(spark, f"{ledger}/batches", BATCHES)
+    row = batches.where((F.col("source") == source) & (F.col("batch") == number)).first()
+    ordinal = row["ordinal"] if row else batches.count() + 1
+    if not row:
+        spark.createDataFrame([(source, number, ordinal)], BATCHES).coalesce(1).write.mode("append").parquet(f"{ledger}/batches")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+    known = stored(spark, f"{ledger}/memories", LEDGER).where(F.col("bucket").isin(touched))
+    first = ordinal << ID_BITS
+    if not known.where(F.col("id").between(first, first + (1 << ID_BITS) - 1)).isEmpty():
+        return
+    order = ["conversation_id", "session_id", "pos"]
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    new = new_memories(known, rows).where("accepted").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    new = written(new.withColumn("id", F.monotonically_increasing_id() + F.lit(first)))
+    blobs = stored(spark, f"{ledger}/blobs", BLOBS).select("s3_key")
+    new.select("s3_key", "body").dropDuplicates(["s3_key"]).join(blobs, "s3_key", "left_anti").write.mode("append").parquet(f"{ledger}/blobs")
+    facts = {"s3_bucket": F.lit(bucket), "byte_size": F.octet_length("body").cast("int"), "created_at": F.current_timestamp()}
+    names = [f.name for f in spark.createDataFrame([], LEDGER).schema.fields]
+    new.withColumns(facts).select(names).write.mode("append").partitionBy("bucket").parquet(f"{ledger}/memories")
+
+
 def ingest(source: DataFrame, ledger: str, checkpoint: str):
-    """Starts a query that takes what the streaming source has now and ends. Each micro-batch is deduplicated in itself and
-    against the ledger, then appended; a batch that runs again after a failure finds its rows there and adds none. Texts
-    are written, under their hash, before the rows that name them."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        body = keys.envelope(**{c: F.col(c) for c in keys.ENVELOPE})
-        rows = batch.withColumn("body", body).withColumn("s3_key", keys.blob_key(keys.content_hash(F.col("body"))))
-        new = new_memories(stored(spark, f"{ledger}/memories", LEDGER), rows).where("accepted").persist()
-        new.dropDuplicates(["s3_key"]).select("s3_key", "body").write.mode("append").parquet(f"{ledger}/blobs")
-        new.select("conversation_id", "session_id", "turn_id", "s3_key", F.octet_length("body").cast("long").alias("byte_size"), "pos", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(
-            f"{ledger}/memories"
-        )
-        new.unpersist()
-
-    return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts a query that takes what the streaming source has now and ends; its batches are deduplicated in themselves and
+    against the ledger."""
+    started = source.writeStream.foreachBatch(lambda batch, number: append(batch, ledger, checkpoint, number))
+    return started.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def texts_of(spark: SparkSession, ledger: str, memories: DataFrame) -> DataFrame:
+    """id, speaker, text and date_time of memories, from the stored texts; an error when it's read if one isn't there."""
+    refs = stored(spark, f"{ledger}/blobs", BLOBS).withColumnRenamed("s3_key", "id")
+    found = strict_lookup(memories.select(F.col("s3_key").alias("id"), F.col("id").alias("memory_id")), refs)
+    parsed = keys.parse_envelope(F.col("body"))
+    return found.select(F.col("memory_id").alias("id"), *(F.coalesce(parsed[c], F.lit("")).alias(c) for c in ("speaker", "text", "date_time")), "id").toDF("id", "speaker", "text", "date_time", "s3_key")
 
 
 def ingested(source: DataFrame, ledger: str | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lorekeep import schemas
 from lorekeep.config import Enrichment
@@ -38,21 +37,24 @@ class Sweeper:
         return L.pending(self.memories, self.events(), c.version, as_of, c.max_attempts, c.backoff_seconds)
 
     def wave(self, as_of: Column, attempt: int = 1) -> dict[str, int]:
-        """One round of pages; what has failed or is done is appended. Returns the outcomes' counts."""
+        """One round of pages, or of the whole backlog if the number of batches isn't above 0; what has failed or is done is
+        appended. Returns the outcomes' counts."""
         c = self.config
-        pages = written(L.plan_pages(self.backlog(as_of), c.batch_size, c.batches).select("id", "page"))
-        rows = pages.join(self.texts, "id", "left").repartition(c.batches, "page")
+        if c.batches > 0:
+            pages = written(L.plan_pages(self.backlog(as_of), c.batch_size, c.batches).select("id", "page"))
+            rows = pages.join(self.texts, "id", "left").repartition(c.batches, "page")
+        else:
+            rows = written(self.backlog(as_of).select("id")).join(self.texts, "id", "left")
         lost = rows.where("text is null").select("id", F.lit("failed").alias("status"), F.lit(False).alias("permanent"), F.lit("its text isn't there").alias("error_message"))
         found = enriched(rows.where("text is not null"), self.cache(), self.embedder, c.document_prefix, c.model, c.dims)
         done = written(found.unionByName(lost, allowMissingColumns=True))
         E.cacheable(done, self.cache(), c.document_prefix, c.model, c.dims, as_of).write.mode("append").parquet(f"{self.ledger}/cache")
-        old = self.events()
-        last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = as_events(done, c.version, attempt, as_of)
-        order = Window.orderBy("memory_id")  # at most the rows of one wave
-        new = new.withColumn("id", F.row_number().over(order) + F.lit(last))
+        # a version's events are in a folder of their own
+        old = self.events().where(F.col("enrichment_version") == c.version)
+        last = self.events().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = as_events(done, c.version, attempt, as_of).withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1))
         named = [f.name for f in old.schema.fields]
-        L.appendable(old, new.select(*(F.col(n).cast(old.schema[n].dataType).alias(n) for n in named))).write.mode("append").parquet(f"{self.ledger}/events")
+        L.appendable(old, new.select(*(F.col(n).cast(old.schema[n].dataType).alias(n) for n in named))).write.mode("append").partitionBy("enrichment_version").parquet(f"{self.ledger}/events")
         kind = F.when(F.col("status") == "done", "done").when(F.col("permanent"), "permanent").otherwise("failed")
         return {r["kind"]: r["n"] for r in done.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
 

@@ -9,7 +9,7 @@ from lorekeep.config import Enrichment, Search
 from lorekeep.operators import embed as E
 from lorekeep.operators import ledger as L
 from lorekeep.plans import retrieval
-from lorekeep.streaming.ingest import ingested, stored, throughput
+from lorekeep.streaming.ingest import BLOBS, LEDGER, append, ingested, stored, texts_of, throughput
 from lorekeep.streaming.sweep import Sweeper, wait_enriched
 
 
@@ -99,6 +99,38 @@ def test_stream_ingest_runs_again_without_repeating(spark, tmp_path):
     assert stored(spark, f"{folder}/blobs", "s3_key string, body string").count() == 2
 
 
+def test_a_batch_that_runs_again_repeats_nothing(spark, tmp_path):
+    """Rows without a turn_id included, which no key tells apart; ids stay, are each row's own and rise with the batches."""
+    kind = "conversation_id string, session_id string, turn_id string, speaker string, text string, date_time string, pos int"
+    rows = spark.createDataFrame([("c", "s", "", "u", "same", "", 0), ("c", "s", None, "u", "same", "", 1), ("d", "s", "t2", "u", "other", "", 2), ("d", "s", "t2", "u", "changed", "", 3)], kind)
+    folder = f"file://{tmp_path}/ledger"
+    read = lambda: stored(spark, f"{folder}/memories", LEDGER)
+    append(rows, folder, "a", 0)
+    first = {r.id: r.s3_key for r in read().collect()}
+    assert len(first) == 3
+    append(rows, folder, "a", 0)
+    assert {r.id: r.s3_key for r in read().collect()} == first
+    assert stored(spark, f"{folder}/blobs", BLOBS).count() == 2
+    append(rows, folder, "a", 1)
+    after = sorted(r.id for r in read().collect())
+    assert len(set(after)) == 5 and after[:3] == sorted(first) and stored(spark, f"{folder}/blobs", BLOBS).count() == 2
+    texts = {r.id: r.text for r in texts_of(spark, folder, read()).collect()}
+    assert sorted(texts.values()) == ["other", "same", "same", "same", "same"]
+    lost = read().limit(1).withColumn("s3_key", F.lit("not there"))
+    with pytest.raises(Exception, match="not there"):
+        texts_of(spark, folder, lost).collect()
+
+
+def test_texts_are_cut_for_the_service_only(spark):
+    long = "é" * 700
+    rows = spark.createDataFrame([(1, long), (2, long + "x")], "id long, text string")
+    cache = spark.createDataFrame([], "content_hash binary, model string, task_prefix string, dims smallint, vector binary, created_at timestamp")
+    got = E.embed(rows, cache, "search_document: ", "m", partial(E.MockEmbedder, 4), 4).orderBy("id").collect()
+    assert got[0].embedding == got[1].embedding and got[0].content_hash != got[1].content_hash
+    whole = E.embed(rows, cache, "search_document: ", "m", partial(E.MockEmbedder, 4), 4, most_bytes=0).orderBy("id").collect()
+    assert whole[0].embedding != whole[1].embedding
+
+
 def test_throughput(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:00:00", "a")], "t string, event_type string")
     out = throughput(rows.withColumn("ts", F.col("t").cast("timestamp"))).orderBy("start").collect()
