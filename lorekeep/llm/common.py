@@ -66,8 +66,9 @@ def spread_join(rows: DataFrame, others: DataFrame, key: str, by: Sequence[str]
     counts = written(counts.select(key, "_n"))
     limit = max(LEAST_HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
     hot = counts.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
-    # and a row that no key meets, so that plans are alike with and without hot keys
-    hot = F.broadcast(hot.unionByName(counts.agg(F.max(key).alias("_hot"), F.lit(1).alias("_parts")).withColumn("_hot", F.nullif("_hot", "_hot"))))
+    # and one key that isn't hot, with one part, so that plans are alike with and without hot keys
+    other = counts.where(F.col("_n") <= limit).agg(F.max(key).alias("_hot"), F.lit(1).alias("_parts"))
+    hot = F.broadcast(hot.unionByName(other))
     number = F.xxhash64(*by) if by else F.monotonically_increasing_id()
     parts = F.coalesce("_parts", F.lit(1))
     left = rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("_salt", F.pmod(number, parts).cast("int")).drop("_hot", "_parts")
