@@ -8,41 +8,59 @@ from pyspark.sql import functions as F
 CUTOFFS = (5, 10)
 
 
-def _cut(retrieved: Column, k: int) -> Column:
-    return F.slice(retrieved, 1, k) if k > 0 else retrieved
-
-
-def _hits(retrieved: Column, gold: Column) -> Column:
+def hits(retrieved: Column, gold: Column) -> Column:
     """Positions, from 1, of gold ids, each where it comes first."""
     pairs = F.transform(retrieved, lambda x, i: F.when(F.array_contains(gold, x) & (F.array_position(retrieved, x) == i + 1), i + 1))
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def recall(retrieved: Column, gold: Column, k: int = 0) -> Column:
-    wanted = F.size(F.array_distinct(gold))
-    found = F.size(F.array_intersect(_cut(retrieved, k), gold))
-    return F.when(wanted > 0, found / F.greatest(wanted, F.lit(1))).otherwise(0.0)
+def wanted(gold: Column) -> Column:
+    return F.size(F.array_distinct(gold))
 
 
-def ndcg(retrieved: Column, gold: Column, k: int = 0) -> Column:
-    wanted = F.size(F.array_distinct(gold))
+def _until(found: Column, k: int) -> Column:
+    return F.filter(found, lambda p: p <= k) if k > 0 else found
+
+
+def recall_at(found: Column, wanted: Column, k: int = 0) -> Column:
+    """Of hits and the number of gold ids, which may be too many for an array of them."""
+    return F.when(wanted > 0, F.size(_until(found, k)) / F.greatest(wanted, F.lit(1))).otherwise(0.0)
+
+
+def ndcg_at(found: Column, wanted: Column, k: int = 0) -> Column:
     most = F.least(wanted, F.lit(k)) if k > 0 else wanted
     total = lambda positions: F.aggregate(positions, F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1.0))
-    ideal = total(F.sequence(F.lit(1), F.greatest(most, F.lit(1))))
-    return F.when(wanted > 0, total(_hits(_cut(retrieved, k), gold)) / ideal).otherwise(0.0)
+    ideal = total(F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int")))
+    return F.when(wanted > 0, total(_until(found, k)) / ideal).otherwise(0.0)
+
+
+def reciprocal_rank_at(found: Column) -> Column:
+    return F.coalesce(1 / F.get(found, F.lit(0)), F.lit(0.0))
+
+
+def recall(retrieved: Column, gold: Column, k: int = 0) -> Column:
+    return recall_at(hits(retrieved, gold), wanted(gold), k)
+
+
+def ndcg(retrieved: Column, gold: Column, k: int = 0) -> Column:
+    return ndcg_at(hits(retrieved, gold), wanted(gold), k)
 
 
 def reciprocal_rank(retrieved: Column, gold: Column) -> Column:
-    return F.coalesce(1 / F.get(_hits(retrieved, gold), F.lit(0)), F.lit(0.0))
+    return reciprocal_rank_at(hits(retrieved, gold))
 
 
 def evaluate(results: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """results(query_id, grp, retrieved, gold) to one row for all (grp null) and one per group: n, skipped, recall_K, ndcg_K
-    and mrr. Queries without gold ids are skipped and counted; a group of such alone isn't there."""
-    r, g = F.col("retrieved"), F.col("gold")
-    scored = F.coalesce(F.size("gold") > 0, F.lit(False)) & F.col("gold").isNotNull()
-    rows = results.withColumn("_scored", scored)
-    measures = {f"recall_{k}": recall(r, g, k) for k in cutoffs} | {f"ndcg_{k}": ndcg(r, g, k) for k in cutoffs} | {"mrr": reciprocal_rank(r, g)}
+    """report of results(query_id, grp, retrieved, gold), the last two arrays of ids."""
+    return report(results.select("grp", hits(F.col("retrieved"), F.col("gold")).alias("hits"), wanted(F.col("gold")).alias("wanted")), cutoffs)
+
+
+def report(judged: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """judged(grp, hits, wanted), a row for each query, to one row for all (grp null) and one per group: n, skipped, recall_K,
+    ndcg_K and mrr. Queries without gold ids are skipped and counted; a group of such alone isn't there."""
+    found, most = F.col("hits"), F.col("wanted")
+    rows = judged.withColumn("_scored", F.coalesce(most > 0, F.lit(False)))
+    measures = {f"recall_{k}": recall_at(found, most, k) for k in cutoffs} | {f"ndcg_{k}": ndcg_at(found, most, k) for k in cutoffs} | {"mrr": reciprocal_rank_at(found)}
     rows = rows.select("grp", "_scored", *(F.when(F.col("_scored"), m).alias(name) for name, m in measures.items()))
     out = rows.groupingSets([[], ["grp"]], "grp").agg(
         F.grouping("grp").alias("overall"),

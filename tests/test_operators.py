@@ -145,3 +145,12 @@ def test_evaluate(spark):
     out = {r.grp: r for r in metrics.evaluate(spark.createDataFrame(rows, "query_id string, grp string, retrieved array<string>, gold array<string>"), (1, 2)).collect()}
     assert set(out) == {None, "g"} and (out[None].n, out[None].skipped) == (2, 1)
     assert out[None].recall_1 == 0.5 and out[None].mrr == 0.75 and out["g"].recall_2 == 1
+
+
+def test_report_of_hits(spark):
+    rows = [("g", [1, 3], 2), ("g", [], 5), ("h", [2], 1_000_000_000), ("h", [], 0), ("n", [], None)]
+    out = {r.grp: r for r in metrics.report(spark.createDataFrame(rows, "grp string, hits array<int>, wanted long"), (1, 2)).collect()}
+    assert set(out) == {None, "g", "h"}
+    assert (out[None].n, out[None].skipped, out["h"].skipped) == (3, 2, 1)
+    assert out["g"].recall_1 == pytest.approx(0.25) and out["g"].mrr == pytest.approx(0.5)
+    assert out["h"].recall_2 == pytest.approx(1e-9) and out["h"].ndcg_2 == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
