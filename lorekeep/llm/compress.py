@@ -7,19 +7,21 @@ Models are dictionaries of a bounded size, broadcast to the tasks; every text is
 
 What a dictionary holds: of each class the `BLOCKS` rows with the least hashes of id and text, whose whole texts are cut into blocks of `SNIPPET` characters. One
 block of each row is taken, chosen by hash, then a second one of each, until there are `BLOCKS`. So every sampled row is in
-it, no place in a text is preferred, and nothing that is gathered is thrown away. `BLOCKS` and `CALIBRATION` are limits for
-each class, however often an id or a row is repeated.
+it, no place in a text is preferred, and nothing that is gathered is thrown away. `BLOCKS` and, for quality, `CALIBRATION` are
+limits for each class, however often an id or a row is repeated.
 
 Defined cases: a null text or one without a letter has language `und` and score 0; a null text has the quality of an empty
 one; a very long text is compressed block by block; without any labelled row the language is `und`, and without both
-labels the quality is their smoothed share; documents labelled both ways aren't learned from; ties between languages go to
+labels, or where they can't be told apart, the quality is their smoothed share; documents labelled both ways aren't learned from; ties between languages go to
 the more frequent one; rows that are repeated or share an id are judged each; of more than `LANGUAGES` languages the most
 frequent are learned; an empty table gives an empty result. Only the id, text, language and label columns are read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -33,9 +35,9 @@ from .common import table, written
 
 #: Blocks in a class's dictionary, and their characters. Languages share ALL_BLOCKS if there are many.
 BLOCKS, SNIPPET, ALL_BLOCKS = 1024, 256, 1 << 16
-#: Rows of each class that scores are calibrated on.
-CALIBRATION = 4000
-LEVEL, LANG_BLOCK, QUALITY_BLOCK = 9, 512, 1024
+#: Rows of each class that quality is learned from, and the folds in which scores are calibrated on them.
+CALIBRATION, FOLDS = 4000, 5
+LEVEL, LANG_BLOCK, QUALITY_BLOCK = 9, 512, 128
 #: What zstandard writes around each block; left out of sizes.
 FRAME = 3
 #: A language is rejected if the next one's size is less than this share above.
@@ -184,50 +186,60 @@ def identify(docs: DataFrame, models: list[tuple[str, bytes]]) -> DataFrame:
 
 #: Letters' cases, digits and other signs, for a view of a text's form without its words.
 _FORM = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
+_WORDS = re.compile(rb"([^\x20\x09-\x0D]+)")
 
 
 def form(data: bytes) -> bytes:
-    return re.sub(rb"AA+", b"B", re.sub(rb"a+", b"a", data.translate(_FORM)))
-
-
-def features(text: str | None, words: list, forms: list, plain: Callable[[bytes], bytes]) -> list[float]:
-    """The normalised difference of sizes with the bad and the good dictionary, of the text and of its form, and the text's
-    size without a dictionary as a share of its length, which is least where it repeats itself."""
+    """Each letter's case, digits and signs, as many as there are; a word that repeats the one before it is, with the space
+    before it, one byte that counts its repetitions, as a dictionary then tells long repetitions from short ones."""
+    out, last, again = [], None, 0
+    for word in _WORDS.split(data):
+        if not word or word[0] in b" \t\n\x0b\x0c\r":
+            out.append(word)
+        elif word == last:
+            again += 1
+            out[-1] = bytes((128 + again % 128,))
+        else:
+            last, again = word, 0
+            out.append(word.translate(_FORM))
+    return b"".join(out)
+
+
+#: How a text is seen; each view has its own two dictionaries.
+VIEWS: tuple[Callable[[bytes], bytes], ...] = (bytes, form)
+#: A view's normalised difference counts as the hyperbolic tangent of so many times itself, so that one far out isn't all.
+SURE = 8.0
+
+
+def differences(text: str | None, pairs: list) -> list[float]:
+    """Of each view the normalised difference of the sizes with the bad and the good dictionary."""
     data, out = (text or "").encode(), []
-    for view, (bad, good) in ((data, words), (form(data), forms)):
-        b, g = size(bad, view, QUALITY_BLOCK), size(good, view, QUALITY_BLOCK)
+    for view, (bad, good) in zip(VIEWS, pairs):
+        seen = view(data)
+        b, g = size(bad, seen, QUALITY_BLOCK), size(good, seen, QUALITY_BLOCK)
         out.append((b - g) / max(b + g, 1))
-    return [*out, size(plain, data, QUALITY_BLOCK) / max(len(data), 1)]
-
-
-#: Features that can only speak for good texts: the two differences.
-RISING = (0, 1)
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method on columns brought to a unit deviation; intercept first. Few rows could turn
-    a difference of sizes against its meaning; such a column is left out."""
-    mean, spread, used = x.mean(0), x.std(0) + 1e-9, list(range(x.shape[1]))
-    while True:
-        z = np.column_stack([np.ones(len(x)), ((x - mean) / spread)[:, used]])
-        w, hold = np.zeros(z.shape[1]), np.diag([1e-6, *[ridge] * len(used)])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + hold, z.T @ (y - p) - hold @ w)
-            w = w + step
-            if np.abs(step).max() < 1e-9:
-                break
-        against = [i for i, v in zip(used, w[1:]) if i in RISING and v < 0]
-        if not against:
+    """Logistic regression of one column, by Newton's method: intercept and slope."""
+    mean, spread = x.mean(), x.std() + 1e-9
+    z, w, hold = np.column_stack([np.ones(len(x)), (x - mean) / spread]), np.zeros(2), np.diag([1e-6, ridge])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + hold, z.T @ (y - p) - hold @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
             break
-        used = [i for i in used if i not in against]
-    slope = np.zeros(x.shape[1])
-    slope[used] = w[1:] / spread[used]
-    return np.array([w[0] - (slope * mean).sum(), *slope])
+    return np.array([w[0] - w[1] / spread * mean, w[1] / spread])
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
-    """The dictionaries of bad and good texts and their forms, and the weights that make a score of sizes."""
+    """The dictionaries of bad and good texts and of their forms, and the weights that make the sum of differences a score.
+
+    Every sampled row is in the dictionaries, and every one calibrates the score: with its difference by dictionaries of
+    the other folds' rows, which are made alike. Without both labels, or if good texts' differences aren't above bad ones'
+    (of too few rows to learn from), the score is the labels' smoothed share."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & in_training())
         .groupBy("doc_id")
@@ -243,52 +255,52 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     if len(n) < 2:
         return {"prior": prior}
-    # one sample for both: the first half of a class at most makes its dictionary
-    drawn = written(sampled(texts, slim, counts, BLOCKS + CALIBRATION))
-    first = F.col("_rank") <= F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / 2))
-    found = snippets(drawn.where(first), BLOCKS)
-    # as many blocks of both, so that neither dictionary is better by its size
-    least = min(len(found.get(k, [])) for k in (0, 1))
-    parts = [[t.encode() for t in found.get(k, [])[:least]] for k in (0, 1)]
-    model = {"prior": prior, "words": [dictionary(x) for x in parts], "forms": [dictionary([form(t) for t in x]) for x in parts]}
-    rows = measured(drawn.where(~first), model, ["_class"]).select("row._class", "x0", "x1", "x2").collect()
-    y = np.array([r["_class"] for r in rows], float)
-    if len(set(y)) == 2:
-        # each class was sampled at its own rate, so its rows are weighed back to its share
-        x = np.array([[r["x0"], r["x1"], r["x2"]] for r in rows])
-        w = fit(x, y)
-        share = y.mean()
-        w[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-        model["weights"] = w.tolist()
-    return model
-
-
-def measured(docs: DataFrame, model: dict, carried: Sequence[str]) -> DataFrame:
-    """x0, x1 and x2 of every text, and its row: a struct of the columns to carry, whatever their names."""
-    own = "text" in carried
-    rows = docs.select(F.struct(*carried).alias("row"), *([] if own else ["text"]))
+    # a text that is there more than once is in one fold
+    drawn = written(sampled(texts, slim, counts, CALIBRATION).withColumn("_fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda i: i != F.col("_fold"))  # the last model is of all rows
+    dealt = drawn.withColumn("_in", F.explode(others)).withColumn("_class", F.concat_ws(":", "_in", "_class"))
+    found = snippets(dealt, BLOCKS)
+    models = [[[t.encode() for t in found.get(f"{i}:{k}", [])] for k in (0, 1)] for i in range(FOLDS + 1)]
+    models = [[[dictionary([view(t) for t in part]) for part in parts] for view in VIEWS] for parts in models]
+    rows = measured(drawn, models, ["_class"], "_fold").select("row._class", "difference").collect()
+    x, y = np.array([r["difference"] for r in rows]), np.array([r["_class"] for r in rows], float)
+    w = fit(np.tanh(SURE * x).sum(1), y)
+    if w[1] <= 0:
+        return {"prior": prior}
+    # each class was sampled at its own rate, so its rows are weighed back to its share
+    share = y.mean()
+    w[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    return {"prior": prior, "contents": models[-1], "weights": w.tolist()}
+
+
+def measured(docs: DataFrame, models: list, carried: Sequence[str], which: str | None = None) -> DataFrame:
+    """The differences of every text, by the model whose place the column `which` has, and its row: a struct of the
+    columns to carry, whatever their names."""
+    place_of = F.col(which) if which else F.lit(0)
+    rows = docs.select(F.struct(*carried).alias("row"), place_of.cast("int").alias("which"), *([] if "text" in carried else ["text"]))
     kind = rows.schema["row"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, forms = ([kept_compressor(x) for x in shared.value[k]] for k in ("words", "forms"))
-        plain = kept_compressor(b"")
         for b in batches:
-            texts = b.column(0).field("text") if own else b.column(1)
-            found = [features(x.as_py(), words, forms, plain) for x in texts]
-            columns = [pa.array([x[i] for x in found], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "x0", "x1", "x2"])
+            texts = b.column(2) if b.num_columns > 2 else b.column(0).field("text")
+            found = []
+            for x, i in zip(texts, b.column(1).to_pylist()):
+                pairs = [[kept_compressor(c) for c in pair] for pair in shared.value[i]]
+                found.append(differences(x.as_py(), pairs))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["row", "difference"])
 
-    return rows.mapInArrow(run, f"row {kind}, x0 double, x1 double, x2 double")
+    return rows.mapInArrow(run, f"row {kind}, difference array<double>")
 
 
 def scored(docs: DataFrame, model: dict, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
     """row (the columns to carry) and score, the probability of label 1, of every row."""
     if "weights" not in model:
         return docs.select(F.struct(*carried).alias("row"), F.lit(model["prior"]).alias("score"))
-    w = model["weights"]
-    z = F.lit(w[0]) + F.col("x0") * w[1] + F.col("x1") * w[2] + F.col("x2") * w[3]
-    return measured(docs, model, carried).select("row", (1 / (1 + F.exp(-z))).alias("score"))
+    base, slope = model["weights"]
+    told = [F.tanh(SURE * F.get("difference", F.lit(i))) for i in range(len(VIEWS))]
+    z = F.lit(base) + functools.reduce(operator.add, told) * slope
+    return measured(docs, [model["contents"]], carried).select("row", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,11 +290,11 @@ def test_predictions_by_plain_zstandard(spark, two_languages):
         sizes = [plain_size(c, text.lower().encode(), 512) for _, c in models]
         assert got[doc].lang_pred == models[int(np.argmin(sizes))][0]
         assert got[doc].score == pytest.approx(1 / sum(math.exp(-compress.SHARPNESS * (x / min(sizes) - 1)) for x in sizes))
-        data, x = text.encode(), []
-        for view, (bad, good) in ((data, model["words"]), (compress.form(data), model["forms"])):
-            b, g = plain_size(bad, view, 1024), plain_size(good, view, 1024)
+        x = []
+        for view, (bad, good) in zip((text.encode(), compress.form(text.encode())), model["contents"]):
+            b, g = plain_size(bad, view, 128), plain_size(good, view, 128)
             x.append((b - g) / (b + g))
-        z = np.dot(model["weights"], [1, *x, plain_size(b"", data, 1024) / len(data)])
+        z = model["weights"][0] + model["weights"][1] * sum(math.tanh(8 * v) for v in x)
         assert scores[doc] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
@@ -320,10 +320,29 @@ def test_samples_are_limited_by_rows(spark):
     assert len(blocks) == 64 and len(set(blocks)) == 64 and max(int(b[:8]) for b in blocks) > 48_000 > min(int(b[:8]) for b in blocks)
 
 
-def test_a_difference_never_speaks_against_its_meaning():
-    x = np.array([[0.5, 0.1, 1.0], [-0.5, 0.2, 0.0], [0.6, 0.0, 1.1], [-0.4, 0.1, -0.1]])
-    w = compress.fit(x, np.array([0.0, 1, 0, 1]))
-    assert w[1] == 0 and w[2] >= 0 and len(w) == 4
+def test_form():
+    assert compress.form("Ab, cÉ 12!\n Ab Ab Ab\tAb x".encode()) == b"Aa, aaa 00!\n Aa" + bytes([129, 130, 131]) + b" a"
+    assert compress.form(b"") == b"" and compress.form(b"a " * 200)[:-1] == b"a" + bytes(128 + i % 128 for i in range(1, 200))
+
+
+def test_the_difference_of_words_carries_weight(spark, two_languages):
+    """Good and bad texts of one form: only their words tell them. Few labelled rows, too."""
+    labels = two_languages.select("doc_id", F.when(F.col("spoken") == "en", 1).otherwise(0).alias("quality"))
+    for some in (labels, labels.where("doc_id % 6 = 0 or doc_id % 12 = 1")):
+        model = compress.learn_quality(two_languages, some)
+        rows = compress.measured(two_languages, [model["contents"]], ["doc_id"]).select("row.doc_id", "difference").join(labels, "doc_id").collect()
+        words = {k: np.mean([r.difference[0] for r in rows if r.quality == k]) for k in (0, 1)}
+        assert model["weights"][1] > 0 and words[0] < -0.1 < 0.1 < words[1]
+
+
+def test_what_cannot_be_told_apart_has_the_share_of_labels(spark):
+    """Labels against what the sampled rows show, and one row of each label."""
+    docs = spark.createDataFrame([(i, f"same words in all of them {i // 2}") for i in range(40)] + [(100, "x"), (101, "y")], "doc_id long, text string")
+    for ids in (range(40), (100, 101)):
+        labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+        scores = [r.score for r in compress.scored(docs, compress.learn_quality(docs, labels)).collect()]
+        assert len(scores) == 42 and all(0 <= x <= 1 for x in scores)
+    assert compress.fit(np.array([0.5, -0.5, 0.6, -0.4]), np.array([0.0, 1, 0, 1]))[1] < 0
 
 
 # 7: SimHash

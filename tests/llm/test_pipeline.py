@@ -49,6 +49,20 @@ def test_stages(spark, folder):
     assert all(r.n <= 4096 and r.n & (r.n - 1) == 0 for r in words)
 
 
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_the_classifier_on_other_draws(spark, seed):
+    """Bad documents go and good ones stay, whichever rows are there to learn from."""
+    from lorekeep.llm import compress
+
+    rnd = random.Random(seed)
+    texts = [prose(rnd, rnd.randint(40, 300)) for _ in range(300)]
+    rows = [(1000 * seed + i, t if i % 5 else t.upper() + " !!" * 20) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 5 != 0)) for d, _ in rows], "doc_id long, quality int")
+    kept = compress.scored(docs, compress.learn_quality(docs, labels)).where(f"score >= {compress.LEAST_SCORE}").select("row.doc_id").collect()
+    assert sum(r.doc_id % 5 == 0 for r in kept) <= 3 and sum(r.doc_id % 5 != 0 for r in kept) >= 230
+
+
 def test_stages_on_odd_and_empty_tables(spark, folder, odd, none):
     for rows in (odd, none):
         for _, stage in pipeline.STAGES:
