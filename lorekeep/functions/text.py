@@ -49,21 +49,20 @@ def normalize(text: Column) -> Column:
     return F.when(plain, native).otherwise(F.pandas_udf(_normalized, "string")(F.when(~plain, text)))
 
 
+def stemmed_words(words: list[str]) -> list[str]:
+    out = []
+    for w in words:
+        s = _stems.get(w)
+        if s is None:
+            s = stem(w)
+            if len(_stems) < _MOST_STEMS:
+                _stems[w] = s
+        out.append(s)
+    return out
+
+
 def _stemmed(words: pd.Series) -> pd.Series:
-    def one(row: list[str] | None) -> list[str] | None:
-        if row is None:
-            return None
-        out = []
-        for w in row:
-            s = _stems.get(w)
-            if s is None:
-                s = stem(w)
-                if len(_stems) < _MOST_STEMS:
-                    _stems[w] = s
-            out.append(s)
-        return [s for s in out if s]
-
-    return words.map(one)
+    return words.map(lambda row: [s for s in stemmed_words(row) if s], na_action="ignore")
 
 
 def words(normalized: Column) -> Column:

@@ -1,14 +1,10 @@
-"""BM25 within conversations: postings, statistics and the best documents of each query."""
+"""BM25 within conversations: postings, statistics and the formula."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.storage import written
-
-from .ranking import DIGITS, top_n
-
 K1, B = 1.2, 0.75
 
 
@@ -43,34 +39,9 @@ def term_weight(tf: Column, doc_len: Column, avg_len: Column, k1: float = K1, b:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
 
 
-#: Terms that are asked for are broadcast up to this many, and shuffled beyond.
-MOST_BROADCAST = 1 << 20
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
-
-
-def asked_postings(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
-    """conversation_id, id, doc_len, term, tf of wanted(conversation_id, term) alone: lexemes that no query has are left out
-    before anything is counted or shuffled, and rows are dealt by document, as scoring needs them."""
-    rows = corpus.select("conversation_id", "id", F.size("lexemes").alias("doc_len"), F.explode("lexemes").alias("term"))
-    rows = rows.join(_small(wanted), ["conversation_id", "term"], "left_semi").repartition("conversation_id", "id")
-    return rows.groupBy("conversation_id", "id", "doc_len", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(corpus: DataFrame, queries: DataFrame, n: int = 0, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, id, score, rank of the documents that share a term with the query, within its conversation.
-
-    A term that a query repeats counts as often. Documents are scored where their postings are, and each partition's best
-    are cut before they meet; the statistics are of the whole corpus."""
-    asked = queries.select("query_id", "conversation_id", F.explode("lexemes").alias("term"))
-    asked = written(asked.groupBy("conversation_id", "query_id", "term").agg(F.count("*").alias("times")))
-    wanted = written(asked.select("conversation_id", "term").distinct())
-    posted = written(asked_postings(corpus, wanted))
-    weights = document_frequency(posted).join(corpus_stats(corpus), "conversation_id")
-    weights = weights.select("conversation_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
-    asked = written(asked.join(weights, ["conversation_id", "term"]))
-    hits = posted.repartition("id").join(_small(asked), ["conversation_id", "term"])
-    part = F.col("times") * F.col("idf") * term_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b)
-    return top_n(hits.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")), n)
+    """query_id, id, score, rank of the documents that share a term with the query, within its conversation: the search of
+    an index that is made for these queries alone. Where a corpus is asked more than once, make the index once."""
+    from .index import search, temporary_index  # which has the formula from here
+
+    return search(temporary_index(corpus), queries, n, k1, b)

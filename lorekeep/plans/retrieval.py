@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.config import Mode, Search
 from lorekeep.functions.dates import query_time
-from lorekeep.operators.bm25 import bm25
 from lorekeep.operators.dense import dense
+from lorekeep.operators.index import Index, temporary_index
+from lorekeep.operators.index import search as search_index
 from lorekeep.operators.metrics import evaluate
 from lorekeep.operators.mmr import mmr
 from lorekeep.operators.ranking import max_normalized, rrf, top_n
@@ -29,22 +30,24 @@ def validated(corpus: DataFrame, dims: int) -> DataFrame:
     return rows.withColumn("id", F.when(wrong.isNull(), F.col("id")).otherwise(F.raise_error(wrong).cast(dict(corpus.dtypes)["id"]))).drop("_times")
 
 
-def candidates(corpus: DataFrame, queries: DataFrame, search: Search) -> DataFrame:
-    """query_id, id, score, rank: one list, or the fusion of both, each cut before it's fused."""
+def candidates(corpus: DataFrame, queries: DataFrame, search: Search, index: Index | None = None) -> DataFrame:
+    """query_id, id, score, rank: one list, or the fusion of both, each cut before it's fused. Without a stored index of the
+    corpus one is made of its lexemes."""
     lists = []
     if search.mode in (Mode.BM25, Mode.HYBRID):
-        lists.append(bm25(corpus, queries, search.candidates, search.k1, search.b))
+        lists.append(search_index(index or temporary_index(corpus), queries, search.candidates, search.k1, search.b))
     if search.mode in (Mode.DENSE, Mode.HYBRID):
         lists.append(dense(corpus, queries, search.candidates))
     return lists[0] if len(lists) == 1 else top_n(rrf(lists, search.rrf_k))
 
 
-def search(corpus: DataFrame, queries: DataFrame, how: Search = Search()) -> DataFrame:
-    """corpus(conversation_id, id, session_id, lexemes, ts, embedding), queries(query_id, conversation_id, lexemes,
-    embedding, question, question_date as a timestamp) to query_id, position, id, score, in the order of selection. The
-    score is the fused and boosted one. Vectors travel to dense search and to the last step alone."""
+def search(corpus: DataFrame, queries: DataFrame, how: Search = Search(), index: Index | None = None) -> DataFrame:
+    """corpus(conversation_id, id, session_id, ts, embedding, and lexemes unless a stored index has them),
+    queries(query_id, conversation_id, lexemes, embedding, question, question_date as a timestamp) to query_id, position,
+    id, score, in the order of selection. The score is the fused and boosted one. Vectors travel to dense search and to the
+    last step alone."""
     how = how.resolved()
-    found = candidates(corpus, queries, how)
+    found = candidates(corpus, queries, how, index)
     times = queries.select("query_id", "conversation_id", query_time(F.col("question"), F.col("question_date")).alias("query_time"))
     facts = corpus.select("conversation_id", "id", "session_id", "ts", "embedding")
     rows = found.join(times, "query_id").join(facts, ["conversation_id", "id"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.config import Search
 from lorekeep.operators import bm25 as B
+from lorekeep.operators import index as I
 from lorekeep.operators import metrics
 from lorekeep.operators.dense import dense
 from lorekeep.operators.mmr import mmr
@@ -13,7 +14,7 @@ from lorekeep.operators.ranking import max_normalized, rrf, top_n
 from lorekeep.operators.temporal import temporal_adjust
 from lorekeep.plans import retrieval as plan
 
-from .views import corpus, questions, table, vector_queries, vectors, words_sql
+from .views import index, questions, table, vector_queries, vectors, words_sql
 
 N = 10
 
@@ -23,23 +24,23 @@ def _out(rows, digits=6):
 
 
 def bm25_idf(spark, d):
-    docs = corpus(spark, d)
-    rows = B.document_frequency(B.postings(docs)).join(B.corpus_stats(docs), "conversation_id")
+    docs = index(spark, d)
+    rows = docs.document_frequency().join(docs.stats(), "conversation_id")
     return rows.select("term", "df", F.round(B.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
 def bm25_topn(spark, d):
-    return _out(B.bm25(corpus(spark, d), questions(spark, d), N))
+    return _out(I.search(index(spark, d), questions(spark, d), N))
 
 
 def bm25_topn_stemmed(spark, d):
-    return _out(B.bm25(corpus(spark, d, stemmed=True), questions(spark, d, stemmed=True), N))
+    return _out(I.search(index(spark, d, stemmed=True), questions(spark, d, stemmed=True), N))
 
 
 def bm25_topn_scoped(spark, d):
     """Each question in one source: statistics and documents are the source's own."""
     asked = questions(spark, d).withColumn("conversation_id", F.concat(F.lit("src"), F.col("query_id") % 20))
-    return _out(B.bm25(corpus(spark, d, F.col("source")), asked, N))
+    return _out(I.search(index(spark, d, scoped=True), asked, N))
 
 
 def dense_topn(spark, d):
@@ -67,22 +68,23 @@ def rrf_k10(spark, d):
 
 
 def _with_vectors(spark, d):
-    """Documents with the vector of their id, if there is one; benchmark items as well."""
+    """Documents with the vector of their id, if there is one; benchmark items as well. Lexemes are in the index."""
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    docs = corpus(spark, d).join(vecs, "id", "left").withColumn("ts", F.lit(None).cast("timestamp"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("conversation_id"), F.col("source").alias("session_id"))
+    docs = docs.join(vecs, "id", "left").withColumn("ts", F.lit(None).cast("timestamp"))
     asked = questions(spark, d).join(vecs.withColumnRenamed("id", "query_id"), "query_id", "left")
     return docs, asked.withColumn("question", F.col("text")).withColumn("question_date", F.lit(None).cast("timestamp"))
 
 
 def hybrid_candidates(spark, d):
     docs, asked = _with_vectors(spark, d)
-    return _out(plan.candidates(docs, asked, Search(rrf_k=60, candidates=100).resolved()), 9)
+    return _out(plan.candidates(docs, asked, Search(rrf_k=60, candidates=100).resolved(), index(spark, d)), 9)
 
 
 def _search(mode):
     def query(spark, d):
         docs, asked = _with_vectors(spark, d)
-        found = plan.search(docs, asked, Search(mode=mode, top_k=N, max_per_session=4))
+        found = plan.search(docs, asked, Search(mode=mode, top_k=N, max_per_session=4), index(spark, d) if mode != "dense" else None)
         return found.select("query_id", F.col("position").cast("long").alias("position"), "id", F.round("score", 6).alias("score"))
 
     return query

@@ -17,8 +17,8 @@ def tokenize_docs(spark, d):
 
 
 def stemmed_docs(spark, d):
-    rows = corpus(spark, d, stemmed=True)
-    return rows.select(F.col("id").alias("doc_id"), F.array_join("lexemes", " ").alias("lexemes"))
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.array_join(text.lexemes(F.col("text")), " ").alias("lexemes"))
 
 
 def _stems(words):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOPWORDS, lexemes
+from lorekeep.operators.index import Index, stored_index
 from lorekeep.storage import spread, written
 
 
@@ -13,11 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, conversation: Column | None = None, stemmed: bool = False) -> DataFrame:
-    """Documents, of one conversation unless a column is given; tokenized once, as an index is."""
+def documents(spark: SparkSession, sf_dir: str, conversation: Column | None = None) -> DataFrame:
+    """Documents, of one conversation unless a column is given, with their texts' lexemes, not stemmed."""
     conversation = F.lit("all") if conversation is None else conversation
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return written(docs.select(F.col("doc_id").alias("id"), conversation.alias("conversation_id"), F.col("source").alias("session_id"), lexemes(F.col("text"), stemmed).alias("lexemes")))
+    return docs.select(F.col("doc_id").alias("id"), conversation.alias("conversation_id"), F.col("source").alias("session_id"), lexemes(F.col("text"), False).alias("lexemes"))
+
+
+def corpus(spark: SparkSession, sf_dir: str, conversation: Column | None = None) -> DataFrame:
+    """Documents, tokenized once."""
+    return written(documents(spark, sf_dir, conversation))
+
+
+def index(spark: SparkSession, sf_dir: str, scoped: bool = False, stemmed: bool = False) -> Index:
+    """The stored index of the documents' table, of one conversation or of one for each source; built when first asked."""
+    conversation = F.col("source") if scoped else None
+    name = "by source" if scoped else "all"
+    return stored_index(spark, table(spark, sf_dir, "documents"), name, lambda: documents(spark, sf_dir, conversation), stemmed)
 
 
 def questions(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFrame:

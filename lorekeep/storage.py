@@ -35,6 +35,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lorekeep-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and not lost with an executor."""
     spark, path = df.sparkSession, new_folder(df.sparkSession)
