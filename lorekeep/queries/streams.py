@@ -10,7 +10,7 @@ from lorekeep.config import Enrichment
 from lorekeep.functions import keys
 from lorekeep.operators import ledger as L
 from lorekeep.operators.embed import MockEmbedder
-from lorekeep.storage import new_folder
+from lorekeep.storage import new_folder, written
 from lorekeep.streaming.ingest import append, ingested, stored, texts_of, throughput, LEDGER
 from lorekeep.streaming.sweep import Sweeper
 
@@ -51,23 +51,37 @@ def upload_fetch_roundtrip(spark, d):
     return L.with_twins(fetched, local).select("turn_id", "conversation_id", F.size("lexemes").alias("n"), F.octet_length("embedding").alias("bytes"), F.date_format("ts", "yyyy-MM-dd").alias("said"))
 
 
+def stream_dedup_within(spark, d):
+    """All turns, sent in the order of their conversations; every third is sent again after 20 minutes, within the bound, and
+    every fifth after a day, when the stream has forgotten it and the ledger has not. Each is there once; of what is sent twice any copy may be the one."""
+    folder, rows = new_folder(spark), turns(spark, d)
+    number = F.col("conversation_id").cast("bigint") * 16 + F.col("pos")
+    first = rows.withColumn("sent", F.timestamp_seconds(number * 60))
+    again = [first.where(number % every == 0).withColumns({"sent": F.col("sent") + F.expr(f"interval {late}"), "pos": F.col("pos") + 1000}) for every, late in ((3, "20 minutes"), (5, "1 day"))]
+    sent = written(first.unionByName(again[0]).unionByName(again[1]))
+    low, high = sent.agg(F.min(F.unix_timestamp("sent")), F.max(F.unix_timestamp("sent"))).first()
+    part = F.floor((F.unix_timestamp("sent") - low) * 3 / (high - low + 1))
+    for i in range(3):  # one after the other, as a stream takes files by their age and what comes late is left out
+        sent.where(part == i).coalesce(4).write.mode("append").parquet(f"{folder}/sent/{i}")
+    stream = spark.readStream.schema(sent.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{folder}/sent")
+    return ingested(stream, f"{folder}/ledger", "sent").select("turn_id", "session_id", (F.col("pos") % 1000).alias("pos"))
+
+
 def stream_throughput(spark, d):
-    """Events per hour and kind through a stream with a watermark; the rows that the watermark hasn't closed come from the
-    last state, as the whole result is written in each batch."""
+    """Events per hour and kind through a stream, of the windows that its watermark has closed at its end."""
     folder = new_folder(spark)
     rows = throughput(_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
-
-    rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+    started = rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    started.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_dedup, stream_throughput, upload_fetch_roundtrip)}
+QUERIES = {f.__name__: f for f in (stream_dedup_within, stream_ingest_dedup, stream_throughput, upload_fetch_roundtrip)}
 SQL = {
     "stream_ingest_dedup": f"WITH {TURNS_SQL} SELECT turn_id, session_id, CAST(pos * 2 AS INT) AS pos FROM turns",
     "upload_fetch_roundtrip": f"""WITH {TURNS_SQL} SELECT turn_id, conversation_id, said[1:10] AS said, 16 AS bytes,
   CAST(len({words_sql("'[2023-05-02] ' || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(text, '')")}) AS INT) AS n FROM (SELECT *, date_time AS said FROM turns)""",
-    "stream_throughput": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_dedup_within": f"WITH {TURNS_SQL} SELECT turn_id, session_id, pos FROM turns",
+    "stream_throughput": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
 }

@@ -26,8 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def qualified(spark: SparkSession, folder: str) -> str:
     """With the scheme of the store that Spark takes it for, so that others who read the store find the same folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    store, path = file_system(spark, folder)
+    full = store.makeQualified(path).toString()
     return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
@@ -35,10 +35,16 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lorekeep-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, folder: str):
+    """The store that a folder is in, and the folder's path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def is_written(spark: SparkSession, folder: str) -> bool:
     """Whether a table was written there to its end."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    store, done = file_system(spark, f"{folder}/_SUCCESS")
+    return store.exists(done)
 
 
 def written(df: DataFrame) -> DataFrame:

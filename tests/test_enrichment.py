@@ -121,6 +121,70 @@ def test_a_batch_that_runs_again_repeats_nothing(spark, tmp_path):
         texts_of(spark, folder, lost).collect()
 
 
+UPLOADS = "conversation_id string, session_id string, turn_id string, speaker string, text string, date_time string, pos int"
+
+
+@pytest.mark.parametrize("part", ["memories", "blobs", "batches"])
+def test_a_batch_of_which_a_part_is_lost_is_made_whole(spark, tmp_path, part):
+    """As if the writer had died while it committed: whatever files are there, the batch that runs again adds the rest."""
+    rows = spark.createDataFrame([(f"c{i % 8}", "s", None if i % 9 == 0 else f"t{i}", "u", f"text {i}", "", i) for i in range(40)], UPLOADS).repartition(4)
+    folder = f"file://{tmp_path}/ledger"
+    before = [(f"c{i}", "s", "old", "u", f"old {i}", "", 0) for i in range(8)]
+    append(spark.createDataFrame(before, UPLOADS), folder, "a", 6)
+    assert append(rows, folder, "a", 7) == {"accepted": 40, "deduped": 0}
+    read = lambda: {r.id: (r.turn_id, r.pos, r.s3_key) for r in stored(spark, f"{folder}/memories", LEDGER).collect()}
+    whole = read()
+    assert len(whole) == 48 and sorted(whole) == list(range(1, 49))
+    files = sorted(x for x in (tmp_path / "ledger" / part).rglob("*.parquet"))
+    for x in files[1::2] if part != "batches" else []:
+        x.unlink()
+    append(rows, folder, "a", 7)
+    append(spark.createDataFrame(before, UPLOADS), folder, "a", 6)
+    assert read() == whole
+    assert len(texts_of(spark, folder, stored(spark, f"{folder}/memories", LEDGER)).collect()) == 48
+    assert append(rows, folder, "a", 8) == {"accepted": 5, "deduped": 35}  # those without a turn_id are new each time
+    assert append(rows, folder, "a", 9)["accepted"] == 5 and append(rows, folder, "a", 7)["accepted"] == 0
+    assert sorted(read()) == list(range(1, 59))
+
+
+def test_ids_do_not_run_out_and_small_files_are_joined(spark, tmp_path, monkeypatch):
+    from lorekeep.streaming import ingest
+
+    monkeypatch.setattr(ingest, "MOST_FILES", 3)
+    folder = f"file://{tmp_path}/ledger"
+    spark.createDataFrame([("x", 10**9, 1 << 61, 5)], ingest.BATCHES).write.parquet(f"{folder}/batches")
+    for k in range(5):
+        append(spark.createDataFrame([("c", "s", f"t{k}", "u", "x", "", k)], UPLOADS), folder, "a", k)
+    assert sorted(r.id for r in stored(spark, f"{folder}/memories", LEDGER).collect()) == [(1 << 61) + 5 + k for k in range(5)]
+    assert len(list((tmp_path / "ledger" / "batches").glob("part-*"))) <= 4 and len(list((tmp_path / "ledger" / "staged").glob("*/*"))) == 2
+
+
+def test_a_stream_forgets_what_it_has_seen_and_the_ledger_does_not(spark, tmp_path):
+    """Repeats inside the bound never come to the ledger, later ones are deduplicated there; the state stays small."""
+    kind = f"{UPLOADS}, sent timestamp"
+    schema = spark.createDataFrame([], kind).schema
+    time = lambda minutes: F.timestamp_seconds(F.lit(minutes * 60))
+    for i in range(4):  # each hour ten new rows, the same again, and those of the first hour
+        rows = [("c", "s", f"t{i}_{k}", "u", "x", "", 10 * i + k) for k in range(10)]
+        more = [(*r[:6], 1000 + r[6]) for r in rows] + [("c", "s", f"t0_{k}", "u", "x", "", 2000 + k) for k in range(10)] + [("c", "s", None, "u", f"n{i}", "", 0)]
+        spark.createDataFrame(rows + more, UPLOADS).withColumn("sent", time(60 * i)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    folder = f"file://{tmp_path}/ledger"
+    query = ingest_query(stream, folder)
+    got = stored(spark, f"{folder}/memories", LEDGER)
+    assert got.where("turn_id is not null").count() == 40 == got.where("turn_id is not null").select("turn_id").distinct().count() and got.where("turn_id is null").count() == 4
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert max(s["numRowsTotal"] for s in states) <= 30 and sum(s["numRowsRemoved"] for s in states) > 15
+
+
+def ingest_query(stream, folder):
+    from lorekeep.streaming.ingest import ingest
+
+    query = ingest(stream, folder, f"{folder}/checkpoint", "sent", "30 minutes")
+    query.awaitTermination()
+    return query
+
+
 def test_texts_are_cut_for_the_service_only(spark):
     long = "é" * 700
     rows = spark.createDataFrame([(1, long), (2, long + "x")], "id long, text string")
