@@ -56,7 +56,7 @@ def stream_dedup_within(spark, d):
     every fifth after a day, when the stream has forgotten it and the ledger has not. Each is there once; of what is sent twice any copy may be the one."""
     folder, rows = new_folder(spark), turns(spark, d)
     number = F.col("conversation_id").cast("bigint") * 16 + F.col("pos")
-    first = rows.withColumn("sent", F.timestamp_seconds(number * 60))
+    first = rows.withColumn("sent", F.timestamp_seconds(1_700_000_000 + number * 60))
     again = [first.where(number % every == 0).withColumns({"sent": F.col("sent") + F.expr(f"interval {late}"), "pos": F.col("pos") + 1000}) for every, late in ((3, "20 minutes"), (5, "1 day"))]
     sent = written(first.unionByName(again[0]).unionByName(again[1]))
     low, high = sent.agg(F.min(F.unix_timestamp("sent")), F.max(F.unix_timestamp("sent"))).first()

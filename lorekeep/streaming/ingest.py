@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lorekeep import schemas
 from lorekeep.functions import keys
 from lorekeep.operators.ledger import new_memories, strict_lookup
-from lorekeep.storage import file_system, is_written, new_folder
+from lorekeep.storage import file_system, is_written, new_folder, written
 
 #: Memories are in so many folders by their conversation, and a batch reads those of its own conversations.
 BUCKETS = 64
@@ -34,6 +34,7 @@ def _staged(batch: DataFrame, ledger: str, folder: str) -> int:
     """Writes what is new in the batch, in order, to a folder of its own; returns how many rows the batch has, counted with
     the folders that they are for."""
     body = keys.envelope(**{c: F.col(c) for c in keys.ENVELOPE})
+    batch = written(batch)  # a stream's batch is made anew for each look at it
     rows = batch.withColumn("body", body).withColumn("content_hash", keys.content_hash(F.col("body")))
     place = F.pmod(F.xxhash64("conversation_id"), F.lit(BUCKETS)).cast("int")
     rows = rows.withColumns({"s3_key": keys.blob_key(F.col("content_hash")), "bucket": place})
@@ -78,7 +79,8 @@ def append(batch: DataFrame, ledger: str, source: str, number: int, bucket: str
     row = batches.where((F.col("source") == source) & (F.col("batch") == number)).first()
     if row and not is_written(spark, folder):
         return {"accepted": 0, "deduped": batch.count()}
-    total = batch.count() if is_written(spark, folder) else _staged(batch, ledger, folder)
+    again = is_written(spark, folder)
+    total = batch.count() if again else _staged(batch, ledger, folder)
     staged = spark.read.schema(STAGED).parquet(folder)
     if row:
         first, n = row["first"], row["rows"]
