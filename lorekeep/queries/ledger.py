@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.operators import ledger as L
+from lorekeep.plans.sql import register
 
 from .views import EVENTS_SQL, events, memories, table
 
@@ -42,6 +43,28 @@ def ledger_flags(spark, d):
     return rows.withColumn("last_fail", F.date_format("last_fail", "yyyy-MM-dd"))
 
 
+def _asked(spark, d, query):
+    """A query of SQL over the table functions."""
+    register(spark, memories(spark, d), events(spark, d))
+    return spark.sql(query)
+
+
+def sql_progress(spark, d):
+    return _asked(spark, d, "SELECT * FROM enrichment_progress(NULL, 1)")
+
+
+def sql_dead_letter(spark, d):
+    return _asked(spark, d, "SELECT * FROM dead_letter(1, 2)")
+
+
+def sql_pending(spark, d):
+    return _asked(spark, d, f"SELECT * FROM pending_enrichment(1, TIMESTAMP '{AS_OF}', 5, {WAIT}D)")
+
+
+def sql_latest(spark, d):
+    return _asked(spark, d, "SELECT id, memory_id, enrichment_version, attempt FROM latest_enrichment(NULL)")
+
+
 def _event(rows):
     return rows.select("id", "memory_id", "enrichment_version", "attempt")
 
@@ -95,6 +118,7 @@ QUERIES = {
     for f in (
         ledger_pending, ledger_pending_count, ledger_progress, ledger_progress_global, ledger_dead_letter, ledger_flags, ledger_latest, ledger_at_version,
         ledger_fetch, append_done, plan_ranges, plan_ntile, batch_outcomes, contiguous_watermark,
+        sql_progress, sql_dead_letter, sql_pending, sql_latest,
     )
 }
 
@@ -135,3 +159,4 @@ SELECT conversation_id, tile, min(id) AS first, max(id) AS last FROM t GROUP BY
   count(*) FILTER (WHERE outcome = 'permanent') AS permanent FROM o GROUP BY batch) SELECT *, failed > 0 AND done = 0 AS batch_failed FROM c""",
     "contiguous_watermark": f"WITH {_OUT} SELECT batch, coalesce(min(idx) FILTER (WHERE outcome = 'failed'), max(idx) + 1) AS watermark FROM o GROUP BY batch",
 }
+SQL |= {f"sql_{name}": SQL[f"ledger_{name}"] for name in ("progress", "dead_letter", "pending", "latest")}

@@ -93,3 +93,27 @@ def test_twins(spark):
     local = spark.createDataFrame([("h1", "first", 0), ("h1", "last", 1), ("h3", "x", 2)], "content_hash string, turn_id string, pos int")
     assert [(r.id, r.turn_id) for r in L.with_twins(fetched, local).collect()] == [(1, "last")]
     assert [r.id for r in L.without_twins(fetched, local).collect()] == [2]
+
+
+def test_sql_functions_equal_the_states(spark, memories, events):
+    """And Catalyst puts their bodies in place of the calls: hash joins, no nested loop."""
+    from lorekeep.plans.sql import register
+
+    register(spark, memories, events)
+    rows = lambda text: sorted(map(tuple, spark.sql(text).collect()), key=str)
+    at = F.lit("2024-01-05").cast("timestamp")
+    same = lambda text, df: rows(text) == sorted(map(tuple, df.collect()), key=str)
+    assert same("SELECT * FROM enrichment_progress(NULL, 1)", L.progress(memories, events, 1))
+    assert same("SELECT * FROM enrichment_progress('c', 1)", L.progress(memories, events, 1).where("conversation_id = 'c'"))
+    assert same("SELECT * FROM dead_letter(1, 5)", L.dead_letter(memories, events, 1)) and rows("SELECT * FROM dead_letter(1, 5)")
+    for version in (1, 2):
+        assert same(f"SELECT * FROM pending_enrichment({version}, TIMESTAMP '2024-01-05', 5, 60D)", L.pending(memories, events, version, at))
+    latest = L.latest_enrichment(events).select("memory_id", "id", "enrichment_version", "attempt")
+    assert same("SELECT * FROM latest_enrichment(NULL)", latest) and same("SELECT * FROM latest_enrichment('d')", latest.where("memory_id >= 6"))
+    both = "SELECT p.conversation_id, count(d.id) FROM enrichment_progress(NULL, 1) p LEFT JOIN dead_letter(1, 5) d ON d.conversation_id = p.conversation_id GROUP BY ALL"
+    assert rows(both) == [("c", 2), ("d", 0)]
+    for text in ("SELECT * FROM enrichment_progress('c', 1)", "SELECT * FROM dead_letter(1, 5)", both):
+        plan = spark.sql(text)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+    register(spark, memories.limit(0), events.limit(0), "none_")
+    assert rows("SELECT * FROM none_enrichment_progress(NULL, 1)") == [] and len(rows("SELECT * FROM enrichment_progress(NULL, 1)")) == 2
