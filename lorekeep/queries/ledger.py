@@ -99,18 +99,18 @@ def plan_ntile(spark, d):
     return memories(spark, d).select("conversation_id", "id", tile.alias("tile")).groupBy("conversation_id", "tile").agg(F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-def _outcomes(spark, d):
+def outcomes(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"))
     outcome = F.when(F.col("flag") == "A", "done").when(F.col("discount") >= 0.05, "permanent").otherwise("failed")
     return rows.select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") - 1).cast("int").alias("idx"), outcome.alias("outcome"))
 
 
 def batch_outcomes(spark, d):
-    return L.batch_outcomes(_outcomes(spark, d))
+    return L.batch_outcomes(outcomes(spark, d))
 
 
 def contiguous_watermark(spark, d):
-    return L.contiguous_watermark(_outcomes(spark, d))
+    return L.contiguous_watermark(outcomes(spark, d))
 
 
 QUERIES = {
