@@ -1,7 +1,8 @@
 """Fixtures, LoCoMo and LongMemEval documents as turns and questions.
 
 turns: conversation_id, session_id, turn_id, speaker, text, date_time, pos. questions: query_id, conversation_id, question,
-question_date, evidence, grp. Each reader parses JSON with a declared schema; files are read whole, one document a row."""
+question_date, evidence, grp. Each reader parses JSON with a declared schema. Arrays of
+documents are read in byte ranges; a file of fixtures is one object, and read whole."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.keys import surrogate_id, turn_id
+from lorekeep.sources.json_arrays import read_array
 
 
 class Dataset(NamedTuple):
@@ -58,15 +60,15 @@ def find_file(explicit: str | None, candidates: Iterable[str], folder: str | Non
 
 
 def _documents(spark: SparkSession, path: str, schema: str, array: bool) -> DataFrame:
-    """The documents of a file; one that doesn't parse is an error."""
+    """The documents of a file, or of a folder's files; one that doesn't parse is an error. An array is read in byte ranges,
+    one document a row; a file that is a single object is one row."""
+    kind = f"struct<{_named(schema)}>"
+    if array:
+        return read_array(spark, path).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("doc")).select("doc.*")
     rows = spark.read.text(path, wholetext=True)
-    kind = f"array<struct<{_named(schema)}>>" if array else f"struct<{_named(schema)}>"
-    parsed = F.from_json("value", kind, {"mode": "FAILFAST"})
-    trimmed = F.ltrim("value", F.lit(" \t\r\n﻿"))
-    right = F.startswith(trimmed, F.lit("[" if array else "{"))
-    checked = F.when(right, parsed).otherwise(F.raise_error(F.lit(f"the document is no {'array' if array else 'object'}")))
-    out = rows.select(checked.alias("doc"))
-    return out.select(F.explode("doc").alias("doc")).select("doc.*") if array else out.select("doc.*")
+    right = F.startswith(F.ltrim("value", F.lit(" \t\r\n﻿")), F.lit("{"))
+    checked = F.when(right, F.from_json("value", kind, {"mode": "FAILFAST"})).otherwise(F.raise_error(F.lit("the document is no object")))
+    return rows.select(checked.alias("doc")).select("doc.*")
 
 
 def _named(schema: str) -> str:
