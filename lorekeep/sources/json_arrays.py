@@ -166,15 +166,13 @@ class JsonArrayRanges(DataSource):
 
 
 def _ranges(spark: SparkSession, path: str, size: int) -> list[Range]:
-    """The ranges of a file, or of all files in a folder that aren't hidden."""
+    """The ranges of a file, or of all files in a folder that aren't hidden or empty."""
     store, where = file_system(spark, path)
     status = store.getFileStatus(where)
-    files = [f for f in store.listStatus(where)] if status.isDirectory() else [status]
-    out = []
-    for f in files:
-        if not f.getPath().getName().startswith(("_", ".")) or f is status:
-            out += [Range(f.getPath().toString(), a, min(a + size, f.getLen())) for a in range(0, max(f.getLen(), 1), size)]
-    return out
+    files = [status]
+    if status.isDirectory():
+        files = [f for f in store.listStatus(where) if f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+    return [Range(f.getPath().toString(), a, min(a + size, f.getLen())) for f in files for a in range(0, max(f.getLen(), 1), size)]
 
 
 def read_array(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
