@@ -180,7 +180,9 @@ def read_array(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     for source in (JsonArray, JsonArrayRanges):
         spark.dataSource.register(source)
     ranges = _ranges(spark, path, size)
-    told = spark.read.format("json_array_ranges").option("ranges", json.dumps(ranges)).load().collect() if ranges else []
+    if not ranges:
+        return spark.createDataFrame([], "value string")
+    told = spark.read.format("json_array_ranges").option("ranges", json.dumps(ranges)).load().collect()
     starts, of, inside, depth = [], None, False, 0
     for r in sorted(told, key=lambda r: (r["path"], r["start"])):
         if r["path"] != of:
