@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,60 +47,61 @@ def parse_timestamp(text: Column) -> Column:
 
 
 _DAY = r"(mon(?:day)?|tues?(?:day)?|wed(?:nesday)?|thu(?:rs(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)"
-_NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1, "few": 3, "a few": 3, "couple": 2, "a couple of": 2}
-_COUNT = r"(\d+|a couple of|a few|an?|" + "|".join(list(_NUMBERS)[1:13]) + ")"
+_NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1, "a few": 3, "a couple of": 2}
+_COUNT = r"([0-9]+|a couple of|a few|an?|" + "|".join(list(_NUMBERS)[1:13]) + ")"
 _UNIT = r"(second|minute|hour|day|week|month|year)s?"
-_RULES = {
-    "day": re.compile(r"\b(yesterday|today|tonight|tomorrow|last night)\b", re.I),
-    "weekday": re.compile(rf"\b(last|past|next|this)\s+{_DAY}\b", re.I),
-    "ago": re.compile(rf"\b{_COUNT}\s+{_UNIT}\s+ago\b", re.I),
-    "in": re.compile(rf"\b(?:in|within)\s+{_COUNT}\s+{_UNIT}\b", re.I),
-    "unit": re.compile(r"\b(last|past|next)\s+(week|month|year)\b", re.I),
-}
-
-
-def _moved(base: dt.datetime, n: int, unit: str) -> dt.datetime:
-    if unit in ("month", "year"):
-        months = base.year * 12 + base.month - 1 + n * (12 if unit == "year" else 1)
-        year, month = divmod(months, 12)
-        last = (dt.datetime(year + month // 11, (month + 1) % 12 + 1, 1) - dt.timedelta(days=1)).day
-        return base.replace(year=year, month=month + 1, day=min(base.day, last))
-    return base + dt.timedelta(**{f"{unit}s": n})
-
-
-def relative(text: str, base: dt.datetime) -> dt.datetime | None:
-    """The first relative date in the text, from the base; None if there is none or it's out of range."""
-    found = min(((m.start(), rule, m) for rule, r in _RULES.items() if (m := r.search(text))), default=None, key=lambda x: x[0])
-    if found is None:
-        return None
-    rule, m = found[1], found[2]
-    try:
-        if rule == "day":
-            return base + dt.timedelta(days={"yesterday": -1, "last night": -1, "tomorrow": 1}.get(m[1].lower(), 0))
-        if rule == "weekday":
-            to = next(i for i, d in enumerate(_DAYS) if d.startswith(m[2].lower()[:3]))
-            away = (to - base.weekday()) % 7
-            if m[1].lower() in ("last", "past"):
-                away = away - 7
-            elif m[1].lower() == "next":
-                away = away or 7
-            return base + dt.timedelta(days=away)
-        if rule == "unit":
-            return _moved(base, 1 if m[1].lower() == "next" else -1, m[2].lower())
-        n = int(m[1]) if m[1].isdigit() else _NUMBERS[m[1].lower()]
-        return _moved(base, -n if rule == "ago" else n, m[2].lower())
-    except (ValueError, OverflowError):
-        return None
-
-
-def _relatives(texts: pd.Series, bases: pd.Series) -> pd.Series:
-    rows = [None if t is None or pd.isna(b) else relative(t, b.to_pydatetime()) for t, b in zip(texts, bases)]
-    return pd.to_datetime(pd.Series(rows, dtype=object))
+#: Of the units that have one length, their seconds; of the others, their months.
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
+_MONTHS = {"month": 1, "year": 12}
+#: What is further away than this isn't looked for.
+_MOST_SECONDS, _MOST_MONTHS = 4e11, 120_000
+
+
+def _moved(base: Column, n: Column, unit: Column) -> Column:
+    """The base and n units; null beyond the years 1 to 9999. Months end with their last day."""
+    length, months = (F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), unit) for table in (_SECONDS, _MONTHS))
+    near = F.abs(n.cast("double") * F.coalesce(length / _MOST_SECONDS, months / _MOST_MONTHS)) <= 1
+    by_length = F.timestamp_micros(F.unix_micros(base) + F.when(near, n).cast("bigint") * length * 1_000_000)
+    by_months = base + F.make_ym_interval(F.lit(0), (F.when(near, n) * months).cast("int"))
+    out = F.when(length.isNotNull(), by_length).otherwise(by_months)
+    return F.when(F.year(out).between(1, 9999), out)
+
+
+def _to_day(base: Column, which: Column, name: Column) -> Column:
+    days = F.array(*(F.lit(d[:3]) for d in _DAYS))
+    away = F.pmod(F.array_position(days, F.substring(name, 1, 3)) - 1 - F.weekday(base), F.lit(7))
+    away = F.when(which.isin("last", "past"), away - 7).when((which == "next") & (away == 0), 7).otherwise(away)
+    return _moved(base, away, F.lit("day"))
+
+
+def _number(said: Column) -> Column:
+    words = F.create_map(*(F.lit(x) for kv in _NUMBERS.items() for x in kv))
+    return F.coalesce(F.try_element_at(words, said).cast("bigint"), said.try_cast("bigint"))
+
+
+def _rule(pattern: str) -> str:
+    """As a whole word, in any case of ASCII letters."""
+    return rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
+#: A pattern, and the time that its groups (lower-cased) tell from a base. Of several that are found the first in the text counts.
+RULES = (
+    (_rule("(yesterday|today|tonight|tomorrow|last night)"), lambda base, g: _moved(base, F.when(g(1).isin("yesterday", "last night"), -1).when(g(1) == "tomorrow", 1).otherwise(0), F.lit("day"))),
+    (_rule(rf"(last|past|next|this)\s+{_DAY}"), lambda base, g: _to_day(base, g(1), g(2))),
+    (_rule(rf"{_COUNT}\s+{_UNIT}\s+ago"), lambda base, g: _moved(base, -_number(g(1)), g(2))),
+    (_rule(rf"(?:in|within)\s+{_COUNT}\s+{_UNIT}"), lambda base, g: _moved(base, _number(g(1)), g(2))),
+    (_rule(r"(last|past|next)\s+(week|month|year)"), lambda base, g: _moved(base, F.when(g(1) == "next", 1).otherwise(-1), g(2))),
+)
 
 
 def parse_relative(text: Column, base: Column) -> Column:
-    """Null without a base or an expression."""
-    return F.pandas_udf(_relatives, "timestamp")(text, base)
+    """The first relative date in the text, from the base; null without either, or if it's out of range. A table of rules as
+    one expression, which stays in the JVM."""
+    places = [F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0)) for pattern, _ in RULES]
+    first, out = F.least(*places), F.lit(None).cast("timestamp")
+    for place, (pattern, told) in reversed(list(zip(places, RULES))):
+        out = F.when(place == first, told(base, lambda i, p=pattern: F.lower(F.regexp_extract(text, p, i)))).otherwise(out)
+    return out
 
 
 def query_time(question: Column, base: Column) -> Column:

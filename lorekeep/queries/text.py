@@ -60,10 +60,19 @@ def parse_timestamps(spark, d):
     return rows.select("event_id", F.date_format(dates.parse_timestamp(written), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+#: A phrase of each rule, and in SQL the time it tells of `t`; n is a number from 2 to 10.
+_SAID = (
+    ("it was {n} days ago", "t - to_days(n)"), ("in {n} weeks, not tomorrow", "t + to_days(7 * n)"), ("Yesterday or last year", "t - INTERVAL 1 DAY"), ("what about tomorrow?", "t + INTERVAL 1 DAY"),
+    ("a couple of months ago", "t - INTERVAL 2 MONTH"), ("within a year", "t + INTERVAL 1 YEAR"), ("last month, then", "t - INTERVAL 1 MONTH"), ("next week", "t + INTERVAL 7 DAY"),
+    ("next Friday", "t + to_days(CAST(1 + (11 - isodow(t)) % 7 AS INT))"), ("past tues", "t - to_days(CAST(1 + (isodow(t) + 4) % 7 AS INT))"), ("this sunday", "t + to_days(CAST(7 - isodow(t) AS INT))"), ("twelve hours ago", "t - INTERVAL 12 HOUR"), ("who said so", "NULL"),
+)
+
+
 def relative_dates(spark, d):
-    rows = table(spark, d, "orders")
-    said = F.concat(F.lit("it was "), (F.col("o_orderkey") % 9 + 2).cast("int").cast("string"), F.lit(" days ago"))
-    return rows.select("o_orderkey", F.date_format(dates.query_time(said, F.col("o_orderdate").cast("timestamp")), "yyyy-MM-dd").alias("found"))
+    """A phrase of each rule in turn, from each order's date."""
+    rows, n = table(spark, d, "orders"), (F.col("o_orderkey") % 9 + 2).cast("int").cast("string")
+    said = F.replace(F.element_at(F.array(*(F.lit(x) for x, _ in _SAID)), (F.col("o_orderkey") % len(_SAID) + 1).cast("int")), F.lit("{n}"), n)
+    return rows.select("o_orderkey", F.date_format(dates.query_time(said, F.col("o_orderdate").cast("timestamp")), "yyyy-MM-dd HH").alias("found"))
 
 
 def l2_norms(spark, d):
@@ -139,7 +148,8 @@ SQL = {
     "doc_length_stats": f"{_LEX} SELECT source AS conversation_id, count(*) AS n_docs, round(avg(len(lex)), 6) AS avg_len FROM docs GROUP BY source",
     "format_for_embedding": "SELECT event_id, '[' || strftime(ts, '%Y-%m-%d') || '] ' || event_type || ': ' || coalesce(props, '') AS formatted FROM events",
     "parse_timestamps": "SELECT event_id, strftime(CASE WHEN event_id % 3 < 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS parsed FROM events",
-    "relative_dates": "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) - to_days(CAST(o_orderkey % 9 + 2 AS INT)), '%Y-%m-%d') AS found FROM orders",
+    "relative_dates": "SELECT o_orderkey, strftime(CASE o_orderkey % " + str(len(_SAID)) + " " + " ".join(f"WHEN {i} THEN {told}" for i, (_, told) in enumerate(_SAID))
+    + " END, '%Y-%m-%d %H') AS found FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t, CAST(o_orderkey % 9 + 2 AS INT) AS n FROM orders)",
     "l2_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "packed_vectors": "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",

@@ -1,4 +1,6 @@
 import datetime as dt
+import re
+import random
 
 import numpy as np
 import pytest
@@ -61,8 +63,67 @@ def test_parse_timestamp(spark):
         ("a month ago", (2023, 4, 12)), ("in 3 days", (2023, 5, 15)), ("last year", (2022, 5, 12)), ("this friday", (2023, 5, 12)), ("nothing here", None), ("999999 years ago", None),
     ],
 )
-def test_relative(said, expected):
-    assert dates.relative(said, dt.datetime(2023, 5, 12)) == (expected and dt.datetime(*expected))
+def test_relative(spark, said, expected):
+    base = F.lit("2023-05-12").cast("timestamp")
+    assert column(spark, [said], lambda s: dates.parse_relative(s, base)) == [expected and dt.datetime(*expected)]
+
+
+def relative_by_hand(text, base):
+    """The first expression in the text, by plain Python."""
+    import calendar
+
+    number = dict(zip("one two three four five six seven eight nine ten eleven twelve a an".split(), [*range(1, 13), 1, 1])) | {"a few": 3, "a couple of": 2}
+    count, unit = r"(\d+|a couple of|a few|an?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)", r"(second|minute|hour|day|week|month|year)s?"
+    days = "monday tuesday wednesday thursday friday saturday sunday".split()
+    day = "(" + "|".join([*days, *(d[:3] for d in days), "tue", "tues", "thurs"]) + ")"
+    rules = [r"(yesterday|today|tonight|tomorrow|last night)", rf"(last|past|next|this)\s+{day}", rf"{count}\s+{unit}\s+ago", rf"(?:in|within)\s+{count}\s+{unit}", r"(last|past|next)\s+(week|month|year)"]
+    found = [(m.start(), i, [g.lower() for g in m.groups()]) for i, r in enumerate(rules) if (m := re.search(rf"\b(?:{r})\b", text, re.I))]
+    if not found:
+        return None
+    _, rule, g = min(found)
+
+    def moved(n, unit):
+        if unit in ("month", "year"):
+            at = base.year * 12 + base.month - 1 + n * (12 if unit == "year" else 1)
+            if not 12 <= at < 120_000:
+                return None
+            last = calendar.monthrange(at // 12, at % 12 + 1)[1]
+            return base.replace(year=at // 12, month=at % 12 + 1, day=min(base.day, last))
+        try:
+            return base + dt.timedelta(**{f"{unit}s": n})
+        except OverflowError:
+            return None
+
+    if rule == 0:
+        return moved({"yesterday": -1, "last night": -1, "tomorrow": 1}.get(g[0], 0), "day")
+    if rule == 1:
+        away = (next(i for i, d in enumerate(days) if d[:3] == g[1][:3]) - base.weekday()) % 7
+        return moved(away - 7 if g[0] in ("last", "past") else away or 7 if g[0] == "next" else away, "day")
+    if rule == 4:
+        return moved(1 if g[0] == "next" else -1, g[1])
+    n = number[g[0]] if g[0] in number else int(g[0])
+    return moved(-n if rule == 2 else n, g[1])
+
+
+def test_relative_dates_by_hand(spark):
+    """All rules, their words and bounds, several in a text, and no Python in the plan."""
+    rnd = random.Random(6)
+    counts = ["a", "an", "a few", "a couple of", "one", "Twelve", "3", "40", "0", "99999", "123456789012", "99999999999999999999999"]
+    units, days = ["second", "minutes", "hour", "days", "week", "MONTHS", "years"], ["Monday", "tue", "Tues", "wed", "thursday", "thurs", "fri", "saturday", "Sun"]
+
+    def phrase():
+        return [
+            lambda: rnd.choice(["yesterday", "Today", "tonight", "tomorrow", "last night"]), lambda: f"{rnd.choice(['last', 'past', 'Next', 'this'])} {rnd.choice(days)}",
+            lambda: f"{rnd.choice(counts)} {rnd.choice(units)}  ago", lambda: f"{rnd.choice(['in', 'within'])} {rnd.choice(counts)} {rnd.choice(units)}",
+            lambda: f"{rnd.choice(['last', 'next', 'past'])} {rnd.choice(['week', 'month', 'year'])}", lambda: "what about Paris", lambda: "ago in last", lambda: "lastmonday",
+        ][rnd.randrange(8)]()
+
+    rows = [(" ".join(phrase() for _ in range(rnd.randint(1, 3))), dt.datetime(2023, rnd.randint(1, 12), rnd.randint(1, 28), 7, 30) + dt.timedelta(days=rnd.randint(0, 3))) for _ in range(700)]
+    rows += [(None, rows[0][1]), ("yesterday", None), ("", rows[0][1]), ("a month ago", dt.datetime(2024, 3, 31)), ("in a year", dt.datetime(2024, 2, 29)), ("3000 years ago", dt.datetime(2024, 2, 29))]
+    df = spark.createDataFrame(rows, "said string, base timestamp").withColumn("found", dates.parse_relative(F.col("said"), F.col("base")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    wrong = [(r, w) for r in df.collect() if r.found != (w := r.said and r.base and relative_by_hand(r.said, r.base) or None)]
+    assert not wrong, wrong[:5]
 
 
 def test_query_time_prefers_a_whole_date_and_needs_a_base(spark):
