@@ -68,9 +68,10 @@ def matched_twins(spark, d):
 
 
 def fetched_texts(spark, d):
-    """Each labelled document's source, found by its id."""
-    refs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    return L.strict_lookup(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), refs)
+    """Each labelled document's source and whole text, found by its id."""
+    refs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    found = L.strict_lookup(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), refs)
+    return found.select("id", "quality", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 QUERIES = {f.__name__: f for f in (matched_twins, fetched_texts, ingest_dedup, ack_counts, cache_miss, cache_rows_by_prefix, embed_outcomes, enriched_turns)}
@@ -84,7 +85,7 @@ SQL = {
   CAST(len({words_sql("'[2023-05-02] ' || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(text, '')")}) AS INT) AS n, 16 AS bytes FROM turns""",
     "matched_twins": """WITH k AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS key FROM documents),
 l AS (SELECT key, max(doc_id) AS twin FROM k WHERE source < 'src2' GROUP BY key) SELECT doc_id, twin FROM k JOIN l USING (key)""",
-    "fetched_texts": "SELECT doc_id AS id, quality, source FROM labels JOIN documents USING (doc_id)",
+    "fetched_texts": "SELECT doc_id AS id, quality, source, md5(coalesce(text, '')) AS text_md5 FROM labels JOIN documents USING (doc_id)",
     "ingest_dedup": f"WITH {_MARKED} SELECT * FROM m",
     "ack_counts": f"WITH {_MARKED} SELECT count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS deduped FROM m",
     "cache_miss": f"WITH {_KEYS} SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM c)",

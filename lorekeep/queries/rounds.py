@@ -36,11 +36,11 @@ def union_turn_round(spark, d):
 
 
 def expand_retrieved(spark, d):
-    """Each conversation's items, the last first, with rounds replaced by their turns."""
+    """Each session's items, the last first, with rounds replaced by their turns."""
     item = F.struct((-F.col("pos")).alias("at"), F.col("members").isNull().alias("alone"), "id", "members")
-    lists = _items(spark, d).groupBy("conversation_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    lists = _items(spark, d).groupBy("conversation_id", "session_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     ids = R.expanded(F.transform("x", lambda i: i["id"]), F.transform("x", lambda i: i["members"]))
-    return lists.select("conversation_id", F.array_join(ids, ",").alias("turn_ids"))
+    return lists.select("conversation_id", "session_id", F.array_join(ids, ",").alias("turn_ids"))
 
 
 QUERIES = {f.__name__: f for f in (rounds_assemble, rounds_ingest, union_turn_round, expand_retrieved)} | {
@@ -66,7 +66,7 @@ SQL = {
     "granularity_round": f"""WITH {_SEATED} SELECT conversation_id, id, n_turns FROM items i WHERE whole OR NOT EXISTS (
   SELECT 1 FROM n JOIN r USING (conversation_id, session_id, round_no) WHERE r.n_turns = 2 AND n.turn_id = i.id)""",
     "expand_retrieved": f"""WITH {_SEATED},
-x AS (SELECT conversation_id, pos, whole, id, unnest(string_split(turn_ids, '+')) AS turn_id, generate_subscripts(string_split(turn_ids, '+'), 1) AS k FROM items),
-y AS (SELECT conversation_id, turn_id, min(row_number) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY -pos, NOT whole, id, k) AS row_number FROM x) GROUP BY ALL)
-SELECT conversation_id, string_agg(turn_id, ',' ORDER BY place) AS turn_ids FROM y GROUP BY conversation_id""",
+x AS (SELECT conversation_id, session_id, pos, whole, id, unnest(string_split(turn_ids, '+')) AS turn_id, generate_subscripts(string_split(turn_ids, '+'), 1) AS k FROM items),
+y AS (SELECT conversation_id, session_id, turn_id, min(row_number) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY -pos, NOT whole, id, k) AS row_number FROM x) GROUP BY ALL)
+SELECT conversation_id, session_id, string_agg(turn_id, ',' ORDER BY place) AS turn_ids FROM y GROUP BY conversation_id, session_id""",
 }
