@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 from enum import Enum
+from typing import TypeVar
+
+Settings = TypeVar("Settings")
 
 
 class Mode(str, Enum):
@@ -75,3 +80,11 @@ class Enrichment:
     model: str = "mock"
     document_prefix: str = "search_document: "
     query_prefix: str = "search_query: "
+
+
+def from_environment(kind: type[Settings], env: Mapping[str, str] = os.environ) -> Settings:
+    """Settings whose fields are named in the environment, as LOREKEEP_BATCH_SIZE for batch_size; others are as they are by
+    default, and one that isn't of its field's kind is an error."""
+    named = {f.name: env[f"LOREKEEP_{f.name.upper()}"] for f in fields(kind) if env.get(f"LOREKEEP_{f.name.upper()}")}
+    default = kind()
+    return replace(default, **{name: type(getattr(default, name))(value) for name, value in named.items()})

@@ -168,5 +168,11 @@ def without_twins(fetched: DataFrame, local: DataFrame) -> DataFrame:
     return fetched.join(local.select("content_hash"), "content_hash", "left_anti")
 
 
+def twins_report(fetched: DataFrame, local: DataFrame, some: int = 5) -> tuple[int, list[str]]:
+    """How many fetched rows have no local twin, and the content hashes of the first few, for a message."""
+    lost = without_twins(fetched, local)
+    return lost.count(), [r["h"] for r in lost.select(F.lower(F.hex("content_hash")).alias("h")).orderBy("h").limit(some).collect()]
+
+
 def is_pending(memories: DataFrame, events: DataFrame, version: int, as_of: Column, memory_id: int, **how: float) -> bool:
     return not pending(memories.where(F.col("id") == memory_id), events.where(F.col("memory_id") == memory_id), version, as_of, **how).isEmpty()
