@@ -133,6 +133,16 @@ def kept_compressor(content: bytes) -> Callable[[bytes], bytes]:
     return _compressors[content]
 
 
+_model_compressors: list = [None, None]
+
+
+def model_compressors(model: list) -> list:
+    """Of one model of quality, the last that the worker was asked for: rows are to come model by model."""
+    if _model_compressors[0] != model:
+        _model_compressors[:] = model, [[compressor(c) for c in pair] for pair in model]
+    return _model_compressors[1]
+
+
 def learn_languages(docs: DataFrame) -> list[tuple[str, bytes]]:
     """Each language and its dictionary, the most frequent one first."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & in_training())
@@ -262,7 +272,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
     found = snippets(dealt, BLOCKS)
     models = [[[t.encode() for t in found.get(f"{i}:{k}", [])] for k in (0, 1)] for i in range(FOLDS + 1)]
     models = [[[dictionary([view(t) for t in part]) for part in parts] for view in VIEWS] for parts in models]
-    rows = measured(drawn, models, ["_class"], "_fold").select("row._class", "difference").collect()
+    by_fold = drawn.repartition(FOLDS, "_fold").sortWithinPartitions("_fold")  # so a worker has one fold's dictionaries at a time
+    rows = measured(by_fold, models, ["_class"], "_fold").select("row._class", "difference").collect()
     x, y = np.array([r["difference"] for r in rows]), np.array([r["_class"] for r in rows], float)
     w = fit(np.tanh(SURE * x).sum(1), y)
     if w[1] <= 0:
@@ -284,10 +295,7 @@ def measured(docs: DataFrame, models: list, carried: Sequence[str], which: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2) if b.num_columns > 2 else b.column(0).field("text")
-            found = []
-            for x, i in zip(texts, b.column(1).to_pylist()):
-                pairs = [[kept_compressor(c) for c in pair] for pair in shared.value[i]]
-                found.append(differences(x.as_py(), pairs))
+            found = [differences(x.as_py(), model_compressors(shared.value[i])) for x, i in zip(texts, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["row", "difference"])
 
     return rows.mapInArrow(run, f"row {kind}, difference array<double>")
