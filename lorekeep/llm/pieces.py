@@ -8,8 +8,9 @@ tokenization). A worker keeps the counts of words it has met.
 Pieces are bytes, those of a tokenizer's vocabulary; A to Z are lower-cased; words are split at spaces and the characters
 9 to 13. A word that greedy matching can't finish counts as one unknown piece, as word-piece tokenizers have it.
 
-Defined cases: null and empty texts and texts of spaces have no words and no pieces; repeated rows are counted each; an
-empty table gives an empty result; only the id and text columns are read.
+Defined cases: null and empty texts and texts of spaces have no words and no pieces; a very long text is split whole, in
+its own row's memory; repeated rows, rows that tie and null ids are counted each; an empty table gives an empty result; only
+the id and text columns are read, so others can have any names.
 """
 
 from __future__ import annotations

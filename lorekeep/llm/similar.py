@@ -12,7 +12,8 @@ are compared, or connected already, while rows stay far from the square of a ban
 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
 
 Defined cases: texts without a word are one class; fewer words than a shingle has are one shingle; repeated rows are of one
-class; null ids belong to a class but can't name it; an empty table gives an empty result.
+class; null ids belong to a class but can't name it; all shingles of a very long text are hashed at once, so it needs memory
+for them; an empty table gives an empty result. Only the id and text columns are read, so others can have any names.
 """
 
 from __future__ import annotations
