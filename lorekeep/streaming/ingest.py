@@ -140,8 +140,11 @@ def ingested(source: DataFrame, ledger: str | None = None, sent: str | None = No
     return stored(spark, f"{ledger}/memories", LEDGER)
 
 
-def throughput(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window of their time and kind, for batch or stream; an extra of this engine. A stream's windows can be
-    appended once they are closed, and are forgotten then."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+def throughput(events: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """Events per window of their time and kind, for batch or stream; an extra of this engine. Events without a time are of
+    a window without a start. A stream's windows can be appended once they are closed, and are forgotten then; without
+    `late` none is ever closed or too late, so that complete mode has them all."""
+    dated = events.select(F.coalesce("ts", F.lit(0).cast("timestamp")).alias("ts"), "event_type", F.col("ts").isNull().alias("undated"))
+    rows = dated.withWatermark("ts", late) if dated.isStreaming and late else dated
+    counts = rows.groupBy(F.window("ts", size).alias("w"), "undated", "event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.when(~F.col("undated"), F.col("w.start")).alias("start"), "event_type", "n")
