@@ -59,38 +59,45 @@ def spread_join(rows: DataFrame, others: DataFrame, key: str, by: Sequence[str]
     """rows joined with others, which has a row for each value of `key`, however many rows share one.
 
     The rows of a hot key are dealt to parts, by a hash of the columns `by` or, of a written table, by their numbers; the
-    other side's row is there once for each part. There can't be more than HOT_KEYS hot keys, so their table is broadcast.
-    `counts` has _n for each key if it's known; else the rows are counted, so they should be cheap to read."""
+    other side's row is there once for each part. There can't be more than HOT_KEYS hot keys, so their hashes come to the
+    driver and stand in the plan; nothing is broadcast. A key that shares a hash with a hot one is dealt as well, on both sides.
+    `counts` has _n for each key if it's known, and is read twice; else the rows are counted, so they should be cheap to read."""
     if counts is None:
-        counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    counts = written(counts.select(key, "_n"))
-    limit = max(LEAST_HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
-    hot = counts.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
-    # and one key that isn't hot, with one part, so that plans are alike with and without hot keys
-    other = counts.where(F.col("_n") <= limit).agg(F.max(key).alias("_hot"), F.lit(1).alias("_parts"))
-    hot = F.broadcast(hot.unionByName(other))
+        counts = written(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    hashed = F.xxhash64(F.col(key).cast(rows.schema[key].dataType))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(LEAST_HOT, (total or 0) // HOT_KEYS)
+    hot: dict[int, list[int]] = {}  # by number of parts, a power of two
+    for n, x in counts.where(F.col("_n") > limit).select("_n", hashed).collect() if (most or 0) > limit else ():
+        hot.setdefault(1 << ((n - 1) // limit).bit_length(), []).append(x)
+    parts = F.lit(1)
+    for n, some in sorted(hot.items()):
+        parts = F.when(hashed.isin(some), n).otherwise(parts)
     number = F.xxhash64(*by) if by else F.monotonically_increasing_id()
-    parts = F.coalesce("_parts", F.lit(1))
-    left = rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("_salt", F.pmod(number, parts).cast("int")).drop("_hot", "_parts")
-    right = others.join(hot, others[key] == hot["_hot"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    # also without hot keys, so that plans are alike with and without
+    left = rows.withColumn("_salt", F.pmod(number, parts).cast("int"))
+    right = others.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return (left.hint("merge") if merge else left).join(right, [key, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) of longs, any direction; returns (node, root), root the least node that a node reaches.
+    """links(a, b) of longs, any direction; returns (node, root), root the least node that a node reaches, as a written table.
 
     Alternates two star steps, both a grouped minimum and a join, until only stars are left; each round is written to
-    the shared folder. Nothing but a count per round comes to the driver.
+    the shared folder. Nothing but whether there is more to do and hot nodes (see spread_join) comes to the driver.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
     while True:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        # a node with links to a third of all others is in no task alone
         least = written(both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("root"), F.count("*").alias("_n")))
+        # where each node that has a lesser one has no other, that one has none: these are stars
+        if least.where("root < hi and _n > 1").isEmpty():
+            return least.select(F.col("hi").alias("node"), "root")
+        # a node with links to a third of all others is in no task alone
         large = spread_join(both, least.drop("_n"), "hi", ["lo"], least).where("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-        large = written(large.distinct())
+        large = written(large)
         least = written(large.groupBy("hi").agg(F.min("lo").alias("root"), F.count("*").alias("_n")))
         small = spread_join(large, least.drop("_n"), "hi", ["lo"], least)
         edges = written(
@@ -99,9 +106,3 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(least.select("hi", F.col("root").alias("lo")))
             .distinct()
         )
-        inner = edges.select(F.col("lo").alias("hi")).distinct()
-        twice = edges.groupBy("hi").count().where("count > 1").select("hi")
-        if edges.join(inner, "hi", "left_semi").isEmpty() and twice.isEmpty():
-            break
-    nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return nodes.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

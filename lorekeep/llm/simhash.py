@@ -81,7 +81,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     """doc_id, fp and component_id, the least id of all documents that links reach."""
     prints = written(fingerprints(docs, shingle))
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
-    roots = written(components(links(classes, radius)))
+    roots = components(links(classes, radius))
     least = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select("node", "least")
     named = classes.join(linked, classes["fp"] == linked["node"], "left")

@@ -124,7 +124,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def leader_pairs(docs: DataFrame, classes: DataFrame, shared: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): a member and a leader of its bands that share at least `least` of their shingles."""
     pairs = written(shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    joined = lambda pairs, rows, name, n: spread_join(pairs, rows(name), name, ["a", "b"], n.groupBy(name).agg(F.count("*").alias("_n")), merge=True)
+    joined = lambda pairs, rows, name, n: spread_join(pairs, rows(name), name, ["a", "b"], written(n.groupBy(name).agg(F.count("*").alias("_n"))), merge=True)
     side = lambda name: classes.select(F.col("id").alias(name), F.col("minima").alias(f"{name}_minima"))
     alike = F.aggregate(F.zip_with("a_minima", "b_minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     both = joined(joined(pairs, side, "a", pairs), side, "b", pairs)
@@ -281,9 +281,10 @@ def grouped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     prints = deduplicated(docs).select(F.col("doc_id").cast("long").alias("_doc"), F.col("component_id").cast("long").alias("b"))
     across = members.join(prints.distinct(), F.col("doc_id") == F.col("_doc")).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     first = written(near.unionByName(across))
-    roots = written(components(first))
+    roots = components(first)
     rest = written(rest_pairs(docs, told, shared, roots, least))
     if not rest.isEmpty():
-        roots = written(components(first.unionByName(rest)))
+        # what the first links connect is stars already
+        roots = components(roots.toDF("a", "b").unionByName(rest))
     out = spread_join(members, roots.withColumnRenamed("node", "id"), "id", how="left")
     return out.select("doc_id", F.coalesce("root", "id").alias("group_id"))
