@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -82,3 +83,50 @@ def test_terms_of_most_rests_are_indexed(spark):
     assert len(rest) and (idf[rest] > 0).all()
     terms, values = packing.impacts(rest, idf, mean)
     assert set(terms.tolist()) == set(rest.tolist()) and (values > 0).all()
+
+
+@pytest.mark.parametrize("together", [40, 1 << 23])
+def test_words_of_many_texts_are_looked_up_once(monkeypatch, together):
+    """Texts that are encoded together have the ids that each has alone."""
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    rnd = random.Random(6)
+    texts = [None, "", " ", "\t\n\x0b\x0c\r", "a\x0bb\x0cc\x1cd\x1de\x85g\u00a0h\u2028i", "<|endoftext|> A B", "A<|B Ab", "İstanbul ΑΣ. x,,", None]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(128), rnd.randrange(0x3000), 32, 9])) for _ in range(60)) for _ in range(200)]
+    name = tokens.default_tokenizer()
+    alone = tokens.Encoder(name)
+    for kind in (pa.string(), pa.large_string()):
+        for some in (pa.array(texts, kind), pa.array(texts, kind).slice(3, 20), pa.array([], kind), pa.array([None, " "], kind)):
+            got = [x.tobytes() for x in tokens.Encoder(name).encode_all(some)]
+            assert got == [alone.encode(x) for x in some.to_pylist()]
+
+    class Counting(tokens.Encoder):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encode = Counting(name)
+    assert len(list(encode.encode_all(pa.array(["one two two One"] * 50)))) == 50
+    assert encode.asked <= (2 if together > 1000 else 100)
+
+
+def test_terms_of_many_rests_have_no_postings():
+    """Rows of the matrix and postings together score as all postings would, also after used rests are dropped."""
+    rng = np.random.default_rng(7)
+    rests = [np.concatenate([rng.integers(0, 30, 60), rng.integers(30, 3000, 20)]).astype("<u4") for _ in range(64)] + [np.array([2, 5000], "<u4")]
+    idf, mean = rng.random(5001, np.float32) + 0.1, 80.0
+    shard = packing.Shard(rests, idf, mean)
+    assert len(shard.docs) and len(shard.dense) and not np.isin(shard.all_terms, shard.dense).any()
+    held = {(int(d), int(t)) for d, t in zip(shard.docs, shard.all_terms)} | {(d, int(shard.dense[r])) for r, d in np.argwhere(shard.matrix)}
+    assert held == {(d, int(t)) for d, x in enumerate(rests) for t in x}
+    assert all(sum(t in x for x in rests) * packing.DENSE < len(rests) for t in set(shard.all_terms.tolist()))
+    every = [dict(zip(*(x.tolist() for x in packing.impacts(r, idf, mean)))) for r in rests]
+    for _ in range(2):
+        for seed in (0, 9, 64):
+            free = [i for i in range(65) if shard.left[i] and i != seed]
+            score = {i: sum(every[i].get(t, 0.0) for t in every[seed]) for i in free}
+            assert shard.neighbours(seed).tolist() == sorted(free, key=lambda i: -score[i])
+        shard.left[10:50] = 0
+        shard._drop_used()
+        assert shard.matrix.shape[1] == 25
