@@ -86,9 +86,10 @@ def _in_slices(spark, rows, by, folder, n=2):
     rows = written(rows)
     low, high = rows.agg(F.min(F.unix_timestamp(by)), F.max(F.unix_timestamp(by))).first()
     part = F.floor((F.unix_timestamp(by) - (low or 0)) * n / ((high or 0) - (low or 0) + 1))
+    files = max(4, spark.sparkContext.defaultParallelism)
     for i in range(n):
-        rows.where(part == i).coalesce(4).write.mode("append").parquet(f"{folder}/{i}")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(folder)
+        rows.where(part == i).coalesce(files).write.mode("append").parquet(f"{folder}/{i}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_pending(spark, d):

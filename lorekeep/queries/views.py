@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorekeep.functions.text import STOPWORDS, lexemes
 from lorekeep.operators.index import Index, stored_index
@@ -68,14 +69,19 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("string").alias("conversation_id"))
 
 
+def by_order(spark: SparkSession, sf_dir: str) -> GroupedData:
+    """Line items by order and number; an order's are dealt out together, once for all that is made of them by order."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_discount", "l_shipdate")
+    return rows.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as enrichment attempts; of done ones, the first of each memory and version."""
-    from lorekeep.operators.ledger import appendable
-
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"), F.min("l_shipdate").alias("shipped")
+    flag = F.col("l_returnflag")
+    rows = by_order(spark, sf_dir).agg(
+        F.min("l_suppkey").alias("supp"), (F.max(flag == "A") & ~F.max(flag < "A")).alias("done"), F.max("l_discount").alias("discount"), F.min("l_shipdate").alias("shipped")
     )
-    done = F.col("flag") == "A"
+    done = F.col("done")  # the least flag is A
     rows = rows.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"),
         F.col("l_orderkey").cast("long").alias("memory_id"),
@@ -85,7 +91,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~done & (F.col("discount") >= 0.09)).alias("permanent"),
         F.col("shipped").cast("timestamp").alias("created_at"),
     )
-    return appendable(rows.limit(0), rows)
+    first = F.row_number().over(Window.partitionBy("memory_id", "enrichment_version", "status").orderBy("id"))
+    return rows.withColumn("_n", first).where("status = 'failed' or _n = 1").drop("_n")
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"

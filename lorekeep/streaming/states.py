@@ -2,87 +2,114 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
 from lorekeep.operators.ledger import MOST_DOUBLINGS
 
 LOG = "memory_id long, id long, attempt int, status string, permanent boolean, at timestamp"
 CHANGES = "memory_id long, micros long, seq int, pending boolean"
-_FLAGS = "known boolean, closed boolean, n_fail int, attempt int, id long, last_fail long, pending boolean, seq int"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: States lie in so many buckets by key, one array each; a micro-batch takes all rows of a bucket in one step, and writes
+#: anew the buckets that it meets. A checkpoint is bound to this number.
+BUCKETS = 1024
 
+#: What is kept of a memory; last_fail is only told if it has failed.
+MEMORY = np.dtype([("memory", "i8"), ("id", "i8"), ("last_fail", "i8"), ("attempt", "i4"), ("n_fail", "i4"), ("seq", "i4"), ("known", "?"), ("closed", "?"), ("failed", "?"), ("pending", "?")])
+_KNOWN, _DONE, _FAILED, _DEAD, _OTHER = range(5)
+_NEVER = np.iinfo(np.int64).max
+#: Times that pandas has.
+_FIRST, _LAST = "1678-01-01", "2262-01-01"
 
-class Pending(StatefulProcessor):
-    """One state for each memory: its failures, and whether it is pending. A failure starts a timer for the end of its wait;
-    when that is over, or when a later event shows that it was, the memory is pending again."""
 
-    def __init__(self, max_attempts: int, base_seconds: float):
-        self.max_attempts, self.base = max_attempts, base_seconds
+def _bucket(key: str) -> Column:
+    """Of a key that is null, -1."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.flags = handle.getValueState("flags", _FLAGS)
-
-    def due(self, s: dict[str, Any]) -> int | None:
-        """The microsecond from which the memory is pending, if nothing else happens; None: it won't be."""
-        if not s["known"] or s["closed"] or s["n_fail"] >= self.max_attempts:
-            return None
-        if s["last_fail"] is None:
-            return 0
-        return s["last_fail"] + int(2.0 ** min(s["n_fail"], MOST_DOUBLINGS) * self.base * 1e6) + 1
-
-    def moved(self, s: dict[str, Any], memory: int, to: int) -> list[Row]:
-        """The change, if there is one, up to a time."""
-        due = self.due(s)
-        pending = due is not None and due <= to
-        if pending == s["pending"]:
-            return []
-        s["pending"], s["seq"] = pending, s["seq"] + 1
-        # a wait that was over before this event began is over at its own time
-        return [Row(memory_id=memory, micros=max(due, s["since"]) if pending else to, seq=s["seq"], pending=pending)]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = [f.split()[0] for f in _FLAGS.split(", ")]
-        held = self.flags.get() if self.flags.exists() else (False, False, 0, None, None, None, False, 0)
-        s, out, memory = dict(zip(names, held)), [], key[0]
-        s["since"] = 0
-        for r in sorted(rows, key=lambda r: (r.micros, r.id)):
-            out += self.moved(s, memory, r.micros - 1)  # until just before the event
-            s["since"] = r.micros
-            if r.status == "memory":
-                s["known"] = True
-            elif r.status == "done" or r.status == "failed" and r.permanent:
-                s["closed"] = True
-            if r.status == "failed":
-                s["n_fail"] += 1
-                if s["attempt"] is None or (r.attempt, r.id) > (s["attempt"], s["id"]):
-                    s["attempt"], s["id"], s["last_fail"] = r.attempt, r.id, r.micros
-            out += self.moved(s, memory, r.micros)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+def _arrays(frames: Iterable[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """The columns of a bucket's rows, whatever number of frames they come in."""
+    parts = [[f[c].to_numpy(np.int64) for c in columns] for f in frames if len(f)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64) for _ in columns]
+
+
+def _ranks(first: np.ndarray) -> np.ndarray:
+    """Each row's place in its group, from 0; first marks where groups begin."""
+    at = np.arange(len(first))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+class Memories:
+    """The memories of a bucket: their failures, and whether each is pending. Rows of many memories are taken at once, the first
+    of each, then the second, and so on; changes come as arrays of memory, micros, seq and pending."""
+
+    def __init__(self, held: bytes | None, max_attempts: int, base_seconds: float):
+        self.s = np.frombuffer(held or b"", MEMORY).copy()
+        self.max_attempts = max_attempts
+        self.waits = np.array([int(2.0**n * base_seconds * 1e6) for n in range(MOST_DOUBLINGS + 1)], np.int64)
+        self.told: list[tuple[np.ndarray, ...]] = []
+
+    def due(self, s: np.ndarray) -> np.ndarray:
+        """The microsecond from which each is pending, if nothing else happens; _NEVER: it won't be."""
+        due = np.where(s["failed"], s["last_fail"] + self.waits[np.minimum(s["n_fail"], MOST_DOUBLINGS)] + 1, 0)
+        return np.where(~s["known"] | s["closed"] | (s["n_fail"] >= self.max_attempts), _NEVER, due)
+
+    def moved(self, at: np.ndarray, to: np.ndarray | int, since: np.ndarray | int) -> None:
+        """Tells the changes of the memories at these places up to a time."""
+        s = self.s[at]
         due = self.due(s)
-        if due is not None and not s["pending"]:
-            self.handle.registerTimer(-(-due // 1000))
-        self.flags.update(tuple(s[n] for n in names))
-        yield from out
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        names = [f.split()[0] for f in _FLAGS.split(", ")]
-        s = dict(zip(names, self.flags.get()), since=0)
-        out = self.moved(s, key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        if out:
-            self.flags.update(tuple(s[n] for n in names))
-        yield from out
+        pending = due <= to
+        new = pending != s["pending"]
+        # a wait that was over before this event began is over at its own time
+        micros = np.where(pending, np.maximum(due, since), to)[new]
+        at, pending = at[new], pending[new]
+        self.s["pending"][at] = pending
+        self.s["seq"][at] += 1
+        self.told.append((self.s["memory"][at], micros, self.s["seq"][at], pending))
+
+    def take(self, memory: np.ndarray, micros: np.ndarray, id: np.ndarray, attempt: np.ndarray, kind: np.ndarray) -> None:
+        added = np.setdiff1d(memory, self.s["memory"])
+        new = np.zeros(len(added), MEMORY)
+        new["memory"] = added
+        self.s = np.concatenate([self.s, new])
+        self.s = self.s[np.argsort(self.s["memory"], kind="stable")]
+        order = np.lexsort((id, micros, memory))
+        memory, micros, id, attempt, kind = (x[order] for x in (memory, micros, id, attempt, kind))
+        place, rank = np.searchsorted(self.s["memory"], memory), _ranks(np.append(True, memory[1:] != memory[:-1])[: len(memory)])
+        rounds = np.argsort(rank, kind="stable")
+        for taken in np.split(rounds, np.cumsum(np.bincount(rank))[:-1]) if len(rank) else []:
+            at, now, what = place[taken], micros[taken], kind[taken]
+            since = np.where(rank[taken] > 0, micros[taken - 1], 0)
+            self.moved(at, now - 1, since)  # until just before the event
+            self.s["known"][at] |= what == _KNOWN
+            self.s["closed"][at] |= (what == _DONE) | (what == _DEAD)
+            fails = (what == _FAILED) | (what == _DEAD)
+            rows, at = taken[fails], at[fails]
+            self.s["n_fail"][at] += 1
+            s = self.s[at]
+            later = ~s["failed"] | (attempt[rows] > s["attempt"]) | (attempt[rows] == s["attempt"]) & (id[rows] > s["id"])
+            rows, at = rows[later], at[later]
+            self.s["attempt"][at], self.s["id"][at], self.s["last_fail"][at], self.s["failed"][at] = attempt[rows], id[rows], micros[rows], True
+            self.moved(place[taken], now, now)
+
+    def changes(self) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*self.told)]
+
+    def next_due(self) -> int | None:
+        """The first microsecond from which one that isn't pending is."""
+        due = self.due(self.s)[~self.s["pending"]]
+        first = int(due.min()) if len(due) else _NEVER
+        return None if first == _NEVER else first
 
-    def close(self) -> None:
-        pass
 
 
 def with_rocks(spark: SparkSession, start):
@@ -100,15 +127,35 @@ def pending_changes(log: DataFrame, max_attempts: int = 5, base_seconds: float =
 
     log(memory_id, id, attempt, status, permanent, at) is a stream of the events of one version, in the order of their times
     up to `late`, and of a row with the status `memory` for each memory. Waits that end after the watermark are told when
-    it gets there."""
-    rows = log.withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
-    return rows.groupBy("memory_id").transformWithState(Pending(max_attempts, base_seconds), CHANGES, "append", "EventTime")
+    it gets there: each bucket has a timer for the first of them."""
+    failed = F.when(F.col("permanent"), _DEAD).otherwise(_FAILED)
+    kind = F.when(F.col("status") == "memory", _KNOWN).when(F.col("status") == "done", _DONE).when(F.col("status") == "failed", failed).otherwise(_OTHER)
+    within = F.least(F.greatest("at", F.lit(_FIRST).cast("timestamp")), F.lit(_LAST).cast("timestamp"))
+    rows = log.withColumns({"micros": F.unix_micros("at"), "at": within}).withWatermark("at", late)
+    rows = rows.select(
+        _bucket("memory_id").alias("bucket"), F.coalesce("memory_id", F.lit(0)).cast("long").alias("memory"), "micros", F.col("id").cast("long").alias("id"),
+        F.coalesce("attempt", F.lit(np.iinfo(np.int32).min)).cast("int").alias("attempt"), kind.alias("kind"), "at",
+    )
+
+    def taken(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        m = Memories(state.get[0] if state.exists else None, max_attempts, base_seconds)
+        m.take(*_arrays(frames, "memory", "micros", "id", "attempt", "kind"))
+        watermark = max(state.getCurrentWatermarkMs(), 0)
+        m.moved(np.flatnonzero(~m.s["pending"]), watermark * 1000, 0)
+        state.update((m.s.tobytes(),))
+        if (due := m.next_due()) is not None:  # a timer is over when the watermark is beyond it
+            state.setTimeoutTimestamp(max(-(-due // 1000) - 1, watermark, 1))
+        memory, micros, seq, pending = m.changes()
+        memory = pd.array([None] * len(memory), "Int64") if key[0] < 0 else memory
+        yield pd.DataFrame({"memory_id": memory, "micros": micros, "seq": seq, "pending": pending})
+
+    return rows.groupBy("bucket").applyInPandasWithState(taken, CHANGES, "held binary", "append", "EventTimeTimeout")
 
 
 def pending_at(changes: DataFrame, micros: int) -> DataFrame:
     """The memories that are pending at a time, from the changes until then."""
-    last = F.max_by("pending", F.struct("micros", "seq"))
-    return changes.where(F.col("micros") <= micros).groupBy("memory_id").agg(last.alias("pending")).where("pending").select("memory_id")
+    last = F.max(F.col("seq").cast("long") * 2 + F.col("pending").cast("int"))  # times go up with seq
+    return changes.where(F.col("micros") <= micros).groupBy("memory_id").agg((last % 2 == 1).alias("pending")).where("pending").select("memory_id")
 
 
 class Prefix(StatefulProcessor):

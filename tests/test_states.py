@@ -60,3 +60,19 @@ def test_prefixes_equal_the_batch(spark, tmp_path):
     table = spark.createDataFrame([(b, i, o) for (b, i), o in final.items()], "batch long, idx int, outcome string")
     want = {r.batch: r.watermark for r in L.contiguous_watermark(table).collect()}
     assert got == {b: w for b, w in want.items() if w} and len(got) > 8
+
+
+def test_pending_states_lie_in_buckets(spark, tmp_path):
+    """Of many memories there is a state for each bucket, not for each memory, and a memory without an id is one too."""
+    n = 3 * states.BUCKETS
+    rows = [(m if m else None, 0, None, "memory", False, START) for m in range(n)] + [(m, m, 1, "failed" if m % 3 else "done", m % 3 == 2, START + 60) for m in range(1, n, 2)]
+    rows += [(n + 5, 10**9, 1, "failed", False, START + 10**4), (n + 6, 10**9, 1, "failed", False, START + 10**6)]
+    log = as_stream(spark, rows, "memory_id long, id long, attempt int, status string, permanent boolean, seconds long", tmp_path / "log", 2)
+    log = log.withColumn("at", F.timestamp_seconds("seconds")).drop("seconds")
+    changes = states.run_to_end(spark, states.pending_changes(log, 5, 60.0), f"file://{tmp_path}", "append")
+    held = spark.read.format("statestore").load(f"file://{tmp_path}/checkpoint")
+    assert held.count() <= states.BUCKETS + 1
+    at = lambda seconds: {r.memory_id for r in states.pending_at(changes, (START + seconds) * 10**6).collect()}
+    even = {None, *range(2, n, 2)}
+    assert at(30) == {None, *range(1, n)} and at(100) == even
+    assert at(60 + 121) == even | {m for m in range(1, n, 2) if m % 3 == 1}
