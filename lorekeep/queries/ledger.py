@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lorekeep.operators import ledger as L
 from lorekeep.plans.sql import register
 
-from .views import EVENTS_SQL, events, memories, table
+from .views import EVENTS_SQL, by_order, events, least_flag_is_a, memories
 
 AS_OF, WAIT = "1995-06-17 00:00:00", 30 * 86400.0
 
@@ -100,8 +100,8 @@ def plan_ntile(spark, d):
 
 
 def outcomes(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"))
-    outcome = F.when(F.col("flag") == "A", "done").when(F.col("discount") >= 0.05, "permanent").otherwise("failed")
+    rows = by_order(spark, d).agg(least_flag_is_a().alias("done"), F.max("l_discount").alias("discount"))
+    outcome = F.when(F.col("done"), "done").when(F.col("discount") >= 0.05, "permanent").otherwise("failed")
     return rows.select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") - 1).cast("int").alias("idx"), outcome.alias("outcome"))
 
 

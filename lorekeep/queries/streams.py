@@ -106,11 +106,12 @@ def stream_pending(spark, d):
 def stream_watermarks(spark, d):
     """How far each order is over: of its items, numbered without gaps, as a stream in any order."""
     folder, place = new_folder(spark), F.row_number().over(Window.partitionBy("batch").orderBy("idx")) - 1
-    rows = written(outcomes(spark, d).withColumn("idx", place))
-    rows.repartition(4, "idx").write.parquet(f"{folder}/in")
+    rows = outcomes(spark, d).withColumn("idx", place)
+    rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    told = states.reached(states.run_to_end(spark, states.prefix_changes(stream), folder, "update"))
-    return rows.select("batch").distinct().join(told, "batch", "left").select("batch", F.coalesce("watermark", F.lit(0)).alias("watermark"))
+    told = states.run_to_end(spark, states.prefix_changes(stream), folder, "update")
+    none = spark.read.schema(rows.schema).parquet(f"{folder}/in").select("batch", F.lit(0).alias("watermark"))
+    return states.reached(none.union(told))
 
 
 def _kept(spark, d):

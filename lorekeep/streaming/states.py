@@ -7,11 +7,9 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.window import Window
 
 from lorekeep.operators.ledger import MOST_DOUBLINGS
 
@@ -158,34 +156,47 @@ def pending_at(changes: DataFrame, micros: int) -> DataFrame:
     return changes.where(F.col("micros") <= micros).groupBy("memory_id").agg((last % 2 == 1).alias("pending")).where("pending").select("memory_id")
 
 
-class Prefix(StatefulProcessor):
-    """One state for each batch: the first item that isn't over, and those over beyond it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "next int")
-        self.beyond = handle.getMapState("beyond", "idx int", "over boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        before = at = self.next.get()[0] if self.next.exists() else 0
-        for r in rows:
-            if r.outcome != "failed" and r.idx >= at:
-                self.beyond.updateValue((r.idx,), (True,))
-                while self.beyond.containsKey((at,)):
-                    self.beyond.removeKey((at,))
-                    at += 1
-        if at > before:
-            self.next.update((at,))
-            yield Row(batch=key[0], watermark=at)
-
-    def close(self) -> None:
-        pass
+PREFIX = np.dtype([("batch", "i8"), ("next", "i4")])
+ITEM = np.dtype([("batch", "i8"), ("idx", "i4")])
+
+
+def _prefixes(held: bytes | None, beyond: bytes | None, batch: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's prefixes and the items over beyond them, with new items that are over; and the prefixes that rose."""
+    s, b = np.frombuffer(held or b"", PREFIX), np.frombuffer(beyond or b"", ITEM)
+    batch, idx = np.append(b["batch"], batch), np.append(b["idx"].astype(np.int64), idx)
+    order = np.lexsort((idx, batch))
+    batch, idx = batch[order], idx[order]
+    once = np.append(True, (batch[1:] != batch[:-1]) | (idx[1:] != idx[:-1]))[: len(batch)]
+    batch, idx = batch[once], idx[once]
+    known = np.zeros(len(own := np.union1d(s["batch"], batch)), PREFIX)
+    known["batch"] = own
+    known["next"][np.searchsorted(own, s["batch"])] = s["next"]
+    place = np.searchsorted(own, batch)
+    ahead = idx >= known["next"][place]
+    batch, idx, place = batch[ahead], idx[ahead], place[ahead]
+    joins = idx == known["next"][place] + _ranks(np.append(True, place[1:] != place[:-1])[: len(place)])
+    rose = np.bincount(place[joins], minlength=len(own)).astype(np.int32)
+    known["next"] += rose
+    left = np.zeros(int((~joins).sum()), ITEM)
+    left["batch"], left["idx"] = batch[~joins], idx[~joins]
+    return known[known["next"] > 0], left, known[rose > 0]
 
 
 def prefix_changes(outcomes: DataFrame) -> DataFrame:
     """batch (a long), watermark: how many items from the start are over, whenever that rises. outcomes(batch, idx, outcome) is a
-    stream in any order; a failed item may come again, and what is over twice counts once."""
-    rows = outcomes.select(F.col("batch").cast("long").alias("batch"), F.col("idx").cast("int").alias("idx"), "outcome")
-    return rows.groupBy("batch").transformWithState(Prefix(), "batch long, watermark int", "update", "None")
+    stream in any order; a failed item may come again, and what is over twice counts once. Of each batch there is the first
+    item that isn't over, and those over beyond it."""
+    over = outcomes.where(F.coalesce(F.col("outcome") != "failed", F.lit(True)))
+    rows = over.select(F.col("batch").cast("long").alias("batch"), F.col("idx").cast("int").alias("idx"))
+    rows = rows.select(_bucket("batch").alias("bucket"), F.coalesce("batch", F.lit(0).cast("long")).alias("batch"), "idx")
+
+    def taken(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, beyond, rose = _prefixes(*(state.get if state.exists else (None, None)), *_arrays(frames, "batch", "idx"))
+        state.update((known.tobytes(), beyond.tobytes()))
+        batch = pd.array([None] * len(rose), "Int64") if key[0] < 0 else rose["batch"]
+        yield pd.DataFrame({"batch": batch, "watermark": rose["next"]})
+
+    return rows.groupBy("bucket").applyInPandasWithState(taken, "batch long, watermark int", "known binary, beyond binary", "update", "NoTimeout")
 
 
 def run_to_end(spark: SparkSession, rows: DataFrame, folder: str, mode: str) -> DataFrame:
@@ -201,5 +212,4 @@ def run_to_end(spark: SparkSession, rows: DataFrame, folder: str, mode: str) ->
 
 def reached(changes: DataFrame) -> DataFrame:
     """The last watermark of each batch."""
-    last = Window.partitionBy("batch").orderBy(F.desc("watermark"))
-    return changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return changes.groupBy("batch").agg(F.max("watermark").alias("watermark"))

@@ -76,3 +76,15 @@ def test_pending_states_lie_in_buckets(spark, tmp_path):
     even = {None, *range(2, n, 2)}
     assert at(30) == {None, *range(1, n)} and at(100) == even
     assert at(60 + 121) == even | {m for m in range(1, n, 2) if m % 3 == 1}
+
+
+def test_prefix_states_lie_in_buckets(spark, tmp_path):
+    """Of many batches there is a state for each bucket, not for each batch; those held up by a hole go on from it."""
+    n = 2 * states.BUCKETS
+    rows = [(b, i, "failed" if i == 1 and b % 4 == 0 else "done") for i in (2, 1, 0) for b in range(n)]
+    rows += [(b, 1, None) for b in range(0, n, 8)] + [(None, 0, "done")] + [(b, 3, "failed") for b in range(n)]
+    stream = as_stream(spark, rows, "batch long, idx int, outcome string", tmp_path / "in", 2)
+    told = states.run_to_end(spark, states.prefix_changes(stream), f"file://{tmp_path}", "update")
+    got = {r.batch: r.watermark for r in states.reached(told).collect()}
+    assert got == {None: 1} | {b: 1 if b % 4 == 0 and b % 8 else 3 for b in range(n)}
+    assert spark.read.format("statestore").load(f"file://{tmp_path}/checkpoint").count() <= states.BUCKETS + 1
