@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.storage import file_system, is_written, written
 
-#: The view is in so many parts by memory; a batch writes anew those that it changes.
-PARTS = 16
+#: The view is in so many parts by memory; a batch writes anew those that it changes. A folder is bound to this number.
+PARTS = 64
 KEY = ["memory_id", "enrichment_version"]
 FLAGS = (
     "memory_id long, enrichment_version int, has_done boolean, has_permanent boolean, n_fail long, last_fail timestamp, "
-    "done_id long, done_attempt int, part int"
+    "fail_attempt int, fail_id long, done_id long, done_attempt int, part int"
 )
 MANIFEST = "part int, version long"
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("memory_id"), F.lit(PARTS)).cast("int").alias("part")
+
+
+def _states(rows: DataFrame, n_fail: Column, failed: Column, done: Column) -> DataFrame:
+    """The state of each memory and version; failed and done are structs that begin with what the last one goes by."""
+    states = rows.groupBy("part", *KEY).agg(F.max("has_done").alias("has_done"), F.max("has_permanent").alias("has_permanent"), n_fail.alias("n_fail"), F.max(failed).alias("f"), F.max(done).alias("d"))
+    told = ("f.last_fail", "f.fail_attempt", "f.fail_id", "d.done_id", "d.done_attempt")
+    return states.select(*KEY, "has_done", "has_permanent", "n_fail", *told, "part")
+
+
 def flags_of(events: DataFrame) -> DataFrame:
-    """The state of each memory and version, from a batch or a stream of events; each column goes on from what it was."""
+    """The state of each memory and version after these events alone."""
     done, failed = F.col("status") == "done", F.col("status") == "failed"
-    rows = events.withColumn("enrichment_version", F.col("enrichment_version").cast("int"))
-    return rows.groupBy(*KEY).agg(
-        F.max(done).alias("has_done"),
-        F.max(failed & F.col("permanent")).alias("has_permanent"),
-        F.count_if(failed).alias("n_fail"),
-        F.max_by(F.when(failed, F.col("created_at")), F.when(failed, F.struct("attempt", "id"))).alias("last_fail"),
-        F.max(F.when(done, F.col("id"))).alias("done_id"),
-        F.max_by(F.when(done, F.col("attempt")), F.when(done, F.col("id"))).alias("done_attempt"),
-    ).withColumn("part", F.pmod(F.xxhash64("memory_id"), F.lit(PARTS)).cast("int"))
+    rows = events.withColumns({"enrichment_version": F.col("enrichment_version").cast("int"), "has_done": done, "has_permanent": failed & F.col("permanent"), "part": _part()})
+    last_fail = F.struct(F.col("attempt").alias("fail_attempt"), F.col("id").alias("fail_id"), F.col("created_at").alias("last_fail"))
+    last_done = F.struct(F.col("id").alias("done_id"), F.col("attempt").alias("done_attempt"))
+    return _states(rows.repartition("part"), F.count_if(failed), F.when(failed, last_fail), F.when(done, last_done))
+
+
+def gone_on(old: DataFrame, new: DataFrame) -> DataFrame:
+    """States that go on from old ones by those of new events."""
+    rows = old.unionByName(new).repartition("part")
+    return _states(rows, F.sum("n_fail"), F.when(F.col("n_fail") > 0, F.struct("fail_attempt", "fail_id", "last_fail")), F.when(F.col("has_done"), F.struct("done_id", "done_attempt")))
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
@@ -57,24 +69,46 @@ def view(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
     return _read(spark, folder, parts_of(spark, folder, version) if version is not None else {})
 
 
-def merge(changed: DataFrame, folder: str, version: int) -> None:
-    """Writes a version: the parts that have changed rows, with these in place of the old ones, then the list of all parts.
-    A version that is written again is the same, as rows are replaced by their keys."""
-    spark = changed.sparkSession
+def _before(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
+    """The parts of the version before this one."""
     before = next((v for v in versions(spark, folder) if v < version), None)
-    parts = parts_of(spark, folder, before) if before is not None else {}
-    changed = written(changed)  # a stream's batch is made anew for each look at it
-    touched = [r["part"] for r in changed.select("part").distinct().collect()]
-    if touched:
-        old = _read(spark, folder, {p: v for p, v in parts.items() if p in touched})
-        kept = old.join(changed.select(*KEY), KEY, "left_anti").withColumn("part", F.pmod(F.xxhash64("memory_id"), F.lit(PARTS)).cast("int"))
-        rows = kept.unionByName(changed).repartition("part")
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/parts/version={version}")
-    parts |= {p: version for p in touched}
+    return parts_of(spark, folder, before) if before is not None else {}
+
+
+def _touched(changed: DataFrame, folder: str, parts: dict[int, int]) -> DataFrame:
+    """The view's rows in the parts that have changed rows."""
+    touched = {r["part"] for r in changed.select("part").distinct().collect()}
+    return _read(changed.sparkSession, folder, {p: v for p, v in parts.items() if p in touched}).withColumn("part", _part())
+
+
+def _put(rows: DataFrame, folder: str, version: int, parts: dict[int, int]) -> None:
+    """Writes a version: rows as whole parts in place of the old ones, then the list of all parts."""
+    spark, path = rows.sparkSession, f"{folder}/parts/version={version}"
+    rows.write.mode("overwrite").partitionBy("part").parquet(path)
+    store, where = file_system(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(where)]
+    parts = parts | {int(n[5:]): version for n in names if n.startswith("part=")}
     spark.createDataFrame(sorted(parts.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/{version}")
     _drop_old(spark, folder)
 
 
+def merge(changed: DataFrame, folder: str, version: int) -> None:
+    """Writes a version in which changed rows stand in place of the old ones of their keys, so one that is written again is the same."""
+    parts = _before(changed.sparkSession, folder, version)
+    changed = written(changed)  # a batch is made anew for each look at it
+    kept = _touched(changed, folder, parts).join(changed.select(*KEY), KEY, "left_anti")
+    _put(kept.unionByName(changed).repartition("part"), folder, version, parts)
+
+
+def advance(events: DataFrame, folder: str, version: int) -> None:
+    """Writes a version that goes on from the one before by new events; so one that is written again is the same."""
+    parts, new = _before(events.sparkSession, folder, version), flags_of(events)
+    if parts:
+        new = written(new)  # a stream's batch is made anew for each look at it
+        new = gone_on(_touched(new, folder, parts), new)
+    _put(new, folder, version, parts)
+
+
 def _drop_old(spark: SparkSession, folder: str, kept: int = 2) -> None:
     """Parts and lists that the last versions don't name."""
     last = versions(spark, folder)[:kept]
@@ -91,9 +125,9 @@ def _drop_old(spark: SparkSession, folder: str, kept: int = 2) -> None:
 
 
 def keep(events: DataFrame, folder: str):
-    """Starts a query that takes what a stream of events has now into the view, and ends. Its own state has the aggregates,
-    so a batch reads its new events and the parts of the view that they change."""
-    started = flags_of(events).writeStream.outputMode("update").foreachBatch(lambda batch, number: merge(batch, folder, number))
+    """Starts a query that takes what a stream of events has now into the view, and ends. The view itself is the state that it goes
+    on from, so a batch reads its new events and the parts of the view that they change, and no executor holds states."""
+    started = events.writeStream.outputMode("append").foreachBatch(lambda batch, number: advance(batch, folder, number))
     return started.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 

@@ -47,3 +47,27 @@ def test_views_equal_the_recomputed_states_after_each_batch(spark, tmp_path):
 
 def test_a_view_that_is_not_there_is_empty(spark, tmp_path):
     assert views.view(spark, f"file://{tmp_path}/none").isEmpty()
+
+
+def test_the_view_is_the_only_state(spark, tmp_path):
+    """The stream holds no state of its own; a batch goes on from the view, and one that runs again changes nothing."""
+    folder = f"file://{tmp_path}/view"
+    rows = [
+        [(1, 7, 1, 3, "failed", False), (2, 7, 1, 1, "done", False), (3, 8, 1, 1, "failed", True), (4, 9, 2, None, "failed", None)],
+        [(5, 7, 1, 2, "failed", False), (6, 8, 1, 2, "failed", False), (7, 7, 1, 9, "done", False), (8, 9, 2, 1, "done", None)],
+    ]
+    events = lambda rows: spark.createDataFrame(rows, KIND.rpartition(",")[0]).withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")))
+    for k, own in enumerate(rows):
+        events(own).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(spark.createDataFrame([], KIND).schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = views.keep(stream, folder)
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for _ in range(2):
+        flags, every = views.view(spark, folder), events(rows[0] + rows[1])
+        for version in (1, 2):
+            want = L.flags(every, version)
+            assert key(flags.where(F.col("enrichment_version") == version).select(*want.columns)) == key(want)
+        assert key(views.latest(flags)) == key(L.latest_enrichment(every).select("memory_id", "id", "enrichment_version", "attempt"))
+        views.advance(events(rows[1]), folder, views.versions(spark, folder)[0])
